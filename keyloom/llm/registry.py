@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality
+from . import bpe, langid, mixing, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_spans": pii.op1_pii_spans,
+        "op2_language_mixture": langid.op2_language_mixture,
         "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
         "op5_host_rules": quality.op5_host_rules,
+        "op7_mix_sources": mixing.op7_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_host_rules": quality.SQL}
+    return {"op5_host_rules": quality.SQL, "op7_mix_sources": mixing.SQL}
