@@ -19,8 +19,8 @@ from __future__ import annotations
 import base64
 import gc
 import heapq
-from array import array
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -33,8 +33,8 @@ from . import words as W
 from .frames import free_name, map_arrow, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BLOCK_BYTES = 4 << 20
-MEMO_WORDS = 1_000_000
+BLOCK_BYTES = 2 << 20
+MEMO_WORDS = 250_000
 MEMO_WORD_CHARS = 64
 _CHUNK = regex.compile(r"\s*\S+|\s+")
 
@@ -50,7 +50,7 @@ class Replay:
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.byte_id = [ranks[bytes([b])] for b in range(256)]
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
         #: Each pair of tokens that merges, as ``left << 20 | right``, and the merged token's rank.
         self.merges: dict[int, int] = {}
         for token, rank in ranks.items():
@@ -58,6 +58,8 @@ class Replay:
                 left, right = ranks.get(token[:k]), ranks.get(token[k:])
                 if left is not None and right is not None:
                     self.merges[left << 20 | right] = rank
+        #: The same for pairs of single bytes.
+        self.byte_pairs = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]).reshape(256, 256)
         self.words_seen: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.exact: dict[str, bytes] = {}
@@ -65,39 +67,33 @@ class Replay:
     def words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Token ids of each distinct word, replayed together."""
         words = list(words)
-        ids: list[int] = []
-        starts = [0]
-        byte_id, whole, merge = self.byte_id, self.ranks.get, self.merges.get
-        for w in words:
-            data = w.encode("utf-8", "surrogatepass")
-            token = whole(data)
-            if token is not None:
-                ids.append(token)
-            else:
-                ids.extend([byte_id[b] for b in data])
-            starts.append(len(ids))
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for s in starts:  # links never cross a word
-            if s < n:
-                before[s] = -1
-            if s:
-                after[s - 1] = -1
-        index: dict[int, list[int]] = {}
-        queue: list[int] = []
-        push = heapq.heappush
-
-        def note(rank: int, at: int) -> None:
-            own = index.get(rank)
-            if own is None:
-                index[rank] = [at]
-                push(queue, rank)
-            else:
-                own.append(at)
-
-        for i in range(n):
-            if after[i] >= 0 and (r := merge(ids[i] << 20 | ids[i + 1])) is not None:
-                note(r, i)
+        if not words:
+            return {}
+        data = [w.encode("utf-8", "surrogatepass") for w in words]
+        whole = np.fromiter(map(self.ranks.get, data, repeat(-1)), np.int64, len(data))
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        first = np.cumsum(sizes) - sizes
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        start = self.byte_ids[raw]
+        n = len(start)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[first[1:] - 1] = after[-1] = -1  # links never cross a word
+        before[first] = -1
+        done = np.flatnonzero(whole >= 0)  # a word that is a token needs no merge
+        inside = np.repeat(whole >= 0, sizes)
+        start[inside] = -1
+        start[first[done]] = whole[done]
+        after[inside] = -1
+        at = np.flatnonzero(after >= 0)
+        found = self.byte_pairs[raw[at], raw[at + 1]]
+        at, found = at[found >= 0], found[found >= 0]
+        order = np.argsort(found, kind="stable")
+        at, found = at[order], found[order]
+        cuts = np.flatnonzero(np.diff(found, prepend=-1))
+        index: dict[int, list[int]] = {r: x.tolist() for r, x in zip(found[cuts].tolist(), np.split(at, cuts[1:]))} if len(at) else {}
+        queue = list(index)  # ascending, so a heap
+        ids, after, before = start.tolist(), after.tolist(), before.tolist()
+        merge, push, own_of = self.merges.get, heapq.heappush, index.get
         while queue:
             rank = heapq.heappop(queue)
             at = index.pop(rank)
@@ -115,20 +111,39 @@ class Replay:
                     before[nxt] = i
                     r = merge(rank << 20 | ids[nxt])
                     if r is not None:
-                        note(r, i)
+                        if (own := own_of(r)) is None:
+                            index[r] = [i]
+                            push(queue, r)
+                        else:
+                            own.append(i)
                         if r < low:
                             low = r
                 if prev >= 0:
                     r = merge(ids[prev] << 20 | rank)
                     if r is not None:
-                        note(r, prev)
+                        if (own := own_of(r)) is None:
+                            index[r] = [prev]
+                            push(queue, r)
+                        else:
+                            own.append(prev)
                         if r < low:
                             low = r
                 if low < rank:  # an earlier rank came up: it goes first
-                    for x in at[k + 1 :]:
-                        note(rank, x)
+                    if rest := at[k + 1 :]:
+                        if rank in index:
+                            index[rank] += rest
+                        else:
+                            index[rank] = rest
+                            push(queue, rank)
                     break
-        return {w: array("i", [t for t in ids[starts[k] : starts[k + 1]] if t >= 0]).tobytes() for k, w in enumerate(words)}
+        flat = np.array(ids, np.int32)
+        ends = np.cumsum(flat >= 0)[first + sizes - 1] * 4
+        kept = flat[flat >= 0].tobytes()
+        out, a = {}, 0
+        for w, b in zip(words, ends.tolist()):
+            out[w] = kept[a:b]
+            a = b
+        return out
 
     def _split(self, chunks: dict[str, str], seen: dict[str, bytes]) -> None:
         """Add the ids of new chunks (key: text to split) to ``seen``."""
@@ -139,9 +154,7 @@ class Replay:
             known.update(self.words(fresh))
         for key, words in split.items():
             seen[key] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-        for w in fresh:
-            if len(w) > MEMO_WORD_CHARS:
-                del known[w]
+        _forget(known, fresh)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text of one block.
@@ -150,9 +163,6 @@ class Replay:
         wherever white space begins, and equal chunks are split and looked up once.
         Where no space has other white space beside it, that is a plain split at spaces.
         """
-        for memo in (self.words_seen, self.spaced, self.exact):
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
         spaced, exact = self.spaced, self.exact
         parts, new_spaced, new_exact = [], {}, {}
         for t in texts:
@@ -174,89 +184,104 @@ class Replay:
             for k in missing:
                 found[k] = spaced[rest[k]]
             out.append(np.frombuffer(b"".join([*map(exact.__getitem__, head), *found]), np.int32))
-        for memo, new in ((spaced, new_spaced), (exact, new_exact)):
-            for c in new:
-                if len(c) > MEMO_WORD_CHARS:
-                    del memo[c]
+        _forget(spaced, new_spaced)
+        _forget(exact, new_exact)
         return out
 
 
-_replays: dict[int, Replay] = {}
+def _forget(memo: dict[str, bytes], new: Iterable[str]) -> None:
+    """Keep a memo within its bounds: the newest entries go, and long ones.  Nothing but speed depends on it."""
+    full = len(memo) > MEMO_WORDS
+    for w in new:
+        if full or len(w) > MEMO_WORD_CHARS:
+            del memo[w]
+
+
+class Bytes:
+    """The inverse of a rank table: ids to the bytes that they stand for."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.length = np.full(max(ranks.values()) + 1, -1, np.int64)
+        for token, i in ranks.items():
+            self.length[i] = len(token)
+        self.data = np.frombuffer(b"".join(t for t, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
+        size = np.maximum(self.length, 0)
+        self.start = np.cumsum(size) - size
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        n = self.length[ids]
+        if len(n) and (n.min() < 0 or ids.min() < 0):
+            raise ValueError("an id has no token")
+        ends = np.cumsum(n)
+        return self.data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - (ends - n), n)].tobytes()
 
-def _replay(shared) -> Replay:
-    """One replay (and memo) for each rank table and worker process."""
+
+_tools: dict[int, tuple[Replay, Bytes]] = {}
+
+
+def _tool(shared) -> tuple[Replay, Bytes]:
+    """One replay (with its memo) and one decoder for each rank table and worker process."""
     ranks, pattern = shared.value
-    if id(ranks) not in _replays:
-        _replays.clear()
-        _replays[id(ranks)] = Replay(ranks, pattern)
-    return _replays[id(ranks)]
+    if id(ranks) not in _tools:
+        _tools.clear()
+        _tools[id(ranks)] = Replay(ranks, pattern), Bytes(ranks)
+    return _tools[id(ranks)]
+
+
+def _shared(df: DataFrame, path: str | None, pattern: str):
+    """The rank file, read on the driver and broadcast; a vocabulary's size is fixed."""
+    return df.sparkSession.sparkContext.broadcast((load_ranks(path or public_tokenizers.path(VOCABULARY)), pattern))
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """``docs`` with a column ``ids`` of token ids (renamed if that name is taken).
+def encode(
+    docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None, path: str | None = None, pattern: str = public_tokenizers.PATTERN
+) -> DataFrame:
+    """``docs`` with a column of token ids and, if named, one of the bytes that these decode to.
 
-    ``path`` names the rank file on the driver, which broadcasts it; its size is fixed.
+    Names that ``docs`` has already are lengthened.  ``path`` is the rank file on the driver.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((load_ranks(path or public_tokenizers.path(VOCABULARY)), pattern))
+    shared = _shared(docs, path, pattern)
     out = free_name(docs, ids)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    back = free_name(docs, decoded) if decoded else None
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = W.column(batch, text)
-        replay = _replay(shared)
+        replay, table = _tool(shared)
         gc.disable()  # nothing here makes cycles, and the memo is large
         for a, b in W.slices(texts, BLOCK_BYTES):
             found = replay.encode(texts.slice(a, b - a).to_pylist())
             offsets = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(x) for x in found], out=offsets[1:])
-            values = pa.array(np.concatenate(found)) if found else pa.array([], pa.int32())
+            cols = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))]
+            if back:
+                cols.append(pa.array([table.decode(x) for x in found], pa.binary()))
             part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*batch.schema.names, out, *([back] if back else [])])
 
-    return map_arrow(docs, rows, f"{schema}, `{out}` array<int>")
+    return map_arrow(docs, rows, f"{_fields(docs)}, `{out}` array<int>" + (f", `{back}` binary" if back else ""))
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """``encoded`` with a binary column of the bytes that its ids stand for (null ids: null)."""
-    spark = encoded.sparkSession
-    ranks = load_ranks(path or public_tokenizers.path(VOCABULARY))
-    top = max(ranks.values()) + 1
-    lengths = np.full(top, -1, np.int64)
-    for token, i in ranks.items():
-        lengths[i] = len(token)
-    joined = b"".join(t for t, _ in sorted(ranks.items(), key=lambda x: x[1]))
-    shared = spark.sparkContext.broadcast((lengths, np.frombuffer(joined, np.uint8)))
+    shared = _shared(encoded, path, public_tokenizers.PATTERN)
     name = free_name(encoded, out)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lengths, data = shared.value
-        starts = np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
+        table = _tool(shared)[1]
         col = batch.column(batch.schema.get_field_index(ids))
-        made = []
-        for k in range(len(col)):
-            x = col[k]
-            if not x.is_valid:
-                made.append(None)
-                continue
-            i = x.values.to_numpy(zero_copy_only=False)
-            n = lengths[i]
-            if len(n) and n.min() < 0:
-                raise ValueError("an id has no token")
-            ends = np.cumsum(n)
-            src = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[i] - (ends - n), n)
-            made.append(data[src].tobytes())
+        made = [table.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in col]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, name])
 
-    return map_arrow(encoded, rows, f"{schema}, `{name}` binary")
+    return map_arrow(encoded, rows, f"{_fields(encoded)}, `{name}` binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The encoded and decoded documents as counts and hashes."""
-    both = decode(encode(docs.select("doc_id", "text")).drop("text"))
-    return both.select(
+    return encode(docs.select("doc_id", "text"), decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
