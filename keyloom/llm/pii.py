@@ -236,5 +236,6 @@ def listed(spans: str) -> F.Column:
 
 def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = lambda kind: lambda s: s["kind"] == kind
+    count = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *count, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))

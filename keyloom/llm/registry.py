@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, pii, quality
+from . import bpe, langid, mixing, pii, quality, shingle_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
         "op5_host_rules": quality.op5_host_rules,
         "op7_mix_sources": mixing.op7_mix_sources,
+        "op10_shingle_join": shingle_join.op10_shingle_join,
     }
 
 
