@@ -11,20 +11,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary folder is made.
+    Only where that is unset (tests, a laptop) a temporary folder is made.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            where = tempfile.mkdtemp(prefix="keyloom-")
-            atexit.register(shutil.rmtree, where, ignore_errors=True)
-        sc.setCheckpointDir(where)
+    where = sc._jsc.sc().getCheckpointDir()
+    if where.isEmpty():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            path = tempfile.mkdtemp(prefix="keyloom-")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
+        sc.setCheckpointDir(path)
+        where = sc._jsc.sc().getCheckpointDir()
+    return where.get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

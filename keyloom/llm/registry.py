@@ -6,19 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, pii, quality, shingle_join
+from . import ann, bpe, langid, linededup, mixing, pii, preferences, quality, rollup, shingle_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_spans": pii.op1_pii_spans,
         "op2_language_mixture": langid.op2_language_mixture,
+        "op3_multiprobe_search": ann.op3_multiprobe_search,
         "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
         "op5_host_rules": quality.op5_host_rules,
+        "op6_preference_pairs": preferences.op6_preference_pairs,
         "op7_mix_sources": mixing.op7_mix_sources,
+        "op8_line_dedup": linededup.op8_line_dedup,
+        "op9_rollup_deltas": rollup.op9_rollup_deltas,
         "op10_shingle_join": shingle_join.op10_shingle_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_host_rules": quality.SQL, "op7_mix_sources": mixing.SQL}
+    return {
+        "op5_host_rules": quality.SQL,
+        "op6_preference_pairs": preferences.SQL,
+        "op7_mix_sources": mixing.SQL,
+        "op8_line_dedup": linededup.SQL,
+        "op9_rollup_deltas": rollup.SQL,
+    }
