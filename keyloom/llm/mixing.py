@@ -32,6 +32,7 @@ SHARE, MOST = 1.5, 2.0
 SHARD_LEVELS = 4
 BLOCKS_PER_SHARD = 64
 BUCKETS_HEX = 3
+SLOTS = 64  # parts of a shard, so that a shard is no single task
 SEED = 7
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -162,7 +163,8 @@ def mix(docs: DataFrame, **options) -> tuple[DataFrame, str]:
     """The mixed rows, shard by shard in shuffled order, with a struct column (copy, shard, place)."""
     drawn, name = draw(docs, **options)
     rows = drawn.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.col(name)["draws"]).alias(name))
-    return rows.repartitionByRange(F.col(name)["shard"], F.col(name)["place"]).sortWithinPartitions(F.col(name)["shard"], F.col(name)["place"]), name
+    shard, place = F.col(name)["shard"], F.col(name)["place"]
+    return rows.repartition(shard, F.pmod(place, F.lit(SLOTS))).sortWithinPartitions(shard, place), name
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
