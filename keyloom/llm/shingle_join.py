@@ -39,6 +39,7 @@ WORDS, PERCENT = 5, 75
 SKETCH_BITS = 20
 BLOCK_SHINGLES = 1_500_000
 LEAF = 8
+CENTRAL_ROUNDS = 1
 #: Tables of so many ids at most are broadcast (16 bytes each); larger ones are joined by a shuffle.
 MOST_BROADCAST = 4_000_000
 
@@ -373,17 +374,29 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     members = _sets_of(docs, placed, rows, size).join(_sized(placed.select("node", "center", "salt"), rows), "node")
     edges = stored(_blocks(members, percent))
     first = components(edges)
-    # What shares a prefix shingle, met in no block and is not joined yet.
-    met = placed.groupBy("node").agg(F.collect_set(F.struct("center", "salt")).alias("met")) if rows else None
-    left = shared.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = left.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    left = left.join(open_, "token", "left_semi").join(plain.select("node", F.struct("center", "salt").alias("met")), "node", "left").join(sizes.select("node", "n"), "node")
-    side = lambda s: left.select("token", F.col("node").alias(s), F.col("root").alias(f"root{s}"), F.col("met").alias(f"met{s}"), F.col("n").alias(f"n{s}"))
-    apart = (F.col("roota") != F.col("rootb")) & (F.col("a") < F.col("b")) & ~F.coalesce(F.col("meta") == F.col("metb"), F.lit(False))
+    # What shares a prefix shingle, met in no block and is not joined yet.  First the most central
+    # member of each component is compared with the most central one of the shingle's group, which
+    # joins clusters of one large group of copies by few pairs; then every pair that is left.
+    of_node = info.select("node", "n", "central").join(plain.select("node", F.struct("center", "salt").alias("met")), "node", "left")
     fits = F.least("na", "nb") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    rest = side("a").join(side("b"), "token").where(apart & fits).select("a", "b").distinct()
-    rest = stored(_prune(rest, info, percent))
-    if not rest.isEmpty():
+    apart = (F.col("roota") != F.col("rootb")) & ~F.coalesce(F.col("meta") == F.col("metb"), F.lit(False)) & fits
+    for exact in (False,) * CENTRAL_ROUNDS + (True,):
+        left = shared.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = left.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+        left = left.join(open_, "token", "left_semi").join(of_node, "node")
+        cols = ["node", "root", "met", "n"]
+        if exact:
+            side = lambda s, d: d.select("token", *[F.col(c).alias(s if c == "node" else c + s) for c in cols])
+            rest = side("a", left).join(side("b", left), "token").where(apart & (F.col("a") < F.col("b")))
+        else:
+            best = F.max(F.struct("central", *cols)).alias("x")
+            heads = left.groupBy("token", "root").agg(best)
+            top = heads.groupBy("token").agg(F.max("x").alias("y"))
+            pick = [F.col(f"{v}.{c}").alias(s if c == "node" else c + s) for v, s in (("x", "a"), ("y", "b")) for c in cols]
+            rest = heads.select("token", "x").join(top, "token").select(*pick).where(apart)
+        rest = stored(_prune(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), info, percent))
+        if rest.isEmpty():
+            continue
         ends = stored(rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct().join(sizes.select("node", "rep"), "node"))
         sets = _sets_of(docs, ends, ends.count(), size).dropDuplicates(["node"])
         edges = stored(edges.union(_verify(rest, sets, percent)))
