@@ -209,9 +209,9 @@ class Bytes:
         self.start = np.cumsum(size) - size
 
     def decode(self, ids: np.ndarray) -> bytes:
-        n = self.length[ids]
-        if len(n) and (n.min() < 0 or ids.min() < 0):
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length) or self.length[ids].min() < 0):
             raise ValueError("an id has no token")
+        n = self.length[ids]
         ends = np.cumsum(n)
         return self.data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - (ends - n), n)].tobytes()
 

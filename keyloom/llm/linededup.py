@@ -9,8 +9,8 @@ lines are left alone.  The remaining lines of a text are joined again.
    unchanged.  Its substrings at the places that its length allows (the multi-match-aware
    choice) are probed against the index of (length, segment number, segment).
 3. Each line is first compared with the earliest line it meets under a key, then - only
-   where that fails - with the other earlier ones, so one popular segment is no quadratic
-   group while its lines are copies of one.
+   where that fails - with the other earlier ones whose letter counts allow it, so one
+   popular segment is no quadratic group while its lines are copies of one.
 4. Pairs are verified exactly: common ends are stripped by bisection, and a banded
    bit-parallel recurrence (one machine word for the whole band) runs over what is left.
 
@@ -133,6 +133,16 @@ def segment_keys(line: Column, n: Column, k: int) -> tuple[list[Column], list[Co
     return index, probe
 
 
+# Fixed value: letters whose counts tell lines apart; any set is right.
+LETTERS = "etaoinshrdlucmfpg"
+
+
+def letter_counts(line: Column) -> Column:
+    """How often each of LETTERS stands in a line."""
+    n = F.char_length(line)
+    return F.array(*[n - F.char_length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS])
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     every = docs.select("d", F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
     return every.withColumn("n", F.char_length("line")).where(F.col("n") >= min_chars)
@@ -161,18 +171,27 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, k: int = K) ->
     index, probe = segment_keys(F.col("line"), F.col("n"), k)
     hashed = lines.select("d", "p", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(k), "line").alias("g"), F.array(*index, *probe).alias("keys"))
     classes = stored(hashed.groupBy("h", "g").agg(F.min(F.struct("d", "p")).alias("at"), F.first("keys").alias("keys")))
-    met = classes.select("at", F.posexplode("keys").alias("i", "key")).select("key", "at", (F.col("i") >= len(index)).alias("probe"))
+    met = classes.select("at", F.posexplode("keys").alias("i", "key")).select("key", "at", (F.col("i") >= len(index)).alias("probe")).repartition("key")
     # Per key: the earliest indexed line meets every row, the earliest probing line every indexed row.
     first = met.groupBy("key").agg(F.min(F.when(~F.col("probe"), F.col("at"))).alias("of_index"), F.min(F.when(F.col("probe"), F.col("at"))).alias("of_probe"), F.min("at").alias("low"), F.max("at").alias("high"))
     first = first.where("low <> high and of_index is not null").drop("low", "high")
-    shared = stored(met.repartition("key").join(first, "key"))
+    shared = stored(met.join(first, "key"))
     star = shared.select(F.col("at").alias("later"), F.explode(F.array("of_index", F.when(~F.col("probe"), F.col("of_probe")))).alias("earlier"))
     star = star.where("earlier is not null and earlier < later")
     gone = stored(_matches(star, docs, min_chars, k).select(F.col("later").alias("at")).distinct())
-    # A line that is left may still be near another earlier line of its keys.
-    left = shared.join(gone, "at", "left_anti").where("of_index < at or (not probe and of_probe < at)").select("key", F.col("at").alias("later"), F.col("probe").alias("probing"), "of_index", "of_probe")
-    other = left.join(shared.select("key", F.col("at").alias("earlier"), "probe"), "key").where("earlier < later and not (probing and probe)")
-    other = other.where("not (earlier <=> of_index) and not (not probing and earlier <=> of_probe)")
+    # A line that is left may still be near another earlier line of its keys.  Letter counts, whose
+    # differences sum to 2 k at most for lines within k, keep most pairs of a large group apart.
+    left = shared.join(gone, "at", "left_anti").where("of_index < at or (not probe and of_probe < at)")
+    some = stored(shared.join(left.select("key").distinct(), "key", "left_semi"))
+    wanted = stored(some.select("at").distinct())
+    counts = _lines(docs, min_chars).select(F.struct("d", "p").alias("at"), letter_counts(F.col("line")).alias("letters"))
+    counts = counts.join(_few(wanted, wanted.count()), "at", "left_semi").dropDuplicates(["at"])
+    some = stored(some.join(counts, "at"))
+    later = some.join(gone, "at", "left_anti").where("of_index < at or (not probe and of_probe < at)")
+    later = later.select("key", F.col("at").alias("later"), F.col("probe").alias("probing"), "of_index", "of_probe", F.col("letters").alias("x"))
+    other = later.join(some.select("key", F.col("at").alias("earlier"), "probe", F.col("letters").alias("y")), "key")
+    other = other.where("earlier < later and not (probing and probe)").where("not (earlier <=> of_index) and not (not probing and earlier <=> of_probe)")
+    other = other.where(F.aggregate(F.zip_with("x", "y", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d) <= 2 * k)
     gone = stored(gone.union(_matches(other, docs, min_chars, k).select("later")).distinct())
     verdict = classes.select("h", "g", F.col("at")).join(gone.withColumn("near", F.lit(True)), "at", "left")
     verdict = verdict.select("h", "g", F.col("at").alias("kept_at"), F.coalesce("near", F.lit(False)).alias("near"))
