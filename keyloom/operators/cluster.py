@@ -1,4 +1,4 @@
-"""Cluster metadata as set algebra.  Survey ids: D5-D10, G1-G9, J4, J5, J8, T3, T5, U1-U3, Q11, Q12, Q19."""
+"""Cluster metadata as set algebra.  Survey ids: D5-D10, G1-G9 (G7 has no behaviour to keep), J4, J5, J8, T3, T5, U1-U3, Q11, Q12, Q19."""
 
 from __future__ import annotations
 
@@ -17,6 +17,14 @@ def layout(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select("id", low.alias("min_key"), high.alias("max_key"))
 
 
+def random_layout(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """n regions over random two-letter bounds, at most 677."""
+    cuts = spark.range(26 * 26).orderBy(F.rand(seed), "id").limit(n - 1).select(letters(F.col("id")).alias("cut"))
+    ends = spark.createDataFrame([(LOWEST, 0)], "cut string, k int").unionByName(cuts.withColumn("k", F.lit(1)))
+    w = Window.partitionBy(F.lit(0)).orderBy("k", "cut")
+    return ends.select((F.row_number().over(w) - 1).cast("long").alias("id"), F.col("cut").alias("min_key"), F.coalesce(F.lead("cut").over(w), F.lit(HIGHEST)).alias("max_key"))
+
+
 def assign(regions: DataFrame, servers: DataFrame, backups: int) -> DataFrame:
     """(id, place, server): primary hosts[i mod H] at place 0, then the next servers on other hosts.
 

@@ -182,3 +182,9 @@ def test_every_region_has_its_replicas_after_failures(spark):
     assert hosts.count() == 27 and fixed.where("place = 0").count() == 9
     assert cluster.next_clock(spark.createDataFrame([(4,)], "clock long")).first()[0] == 5
     assert cluster.can_boot(alive, 9).first()[0] and not cluster.can_boot(alive, 10).first()[0]
+
+
+def test_random_layout_covers_the_key_space(spark):
+    rows = cluster.random_layout(spark, 12, 3).orderBy("id").collect()
+    assert len(rows) == 12 and rows[0].min_key == "-oo" and rows[-1].max_key == "+oo"
+    assert all(a.max_key == b.min_key and (a.min_key == "-oo" or a.min_key < b.min_key) for a, b in zip(rows, rows[1:]))
