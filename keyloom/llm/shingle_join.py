@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .components import components
+from .components import absorb, components
 from .frames import map_arrow, stored, table
 
 WORDS, PERCENT = 5, 75
@@ -316,7 +316,7 @@ def _prune(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each member of a block (center, salt, node, own) and its component's first member."""
+    """(a, b): each member of a block (center, salt, node, own) and its component's least member."""
 
     def join(group: pa.Table) -> pa.Table:
         nodes = group.column("node").to_pylist()
@@ -326,7 +326,11 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
             first.setdefault(node, k)
         keep = list(first.values())
         roots = SignatureJoin([sets[k] for k in keep], percent).roots()
-        return pa.table({"a": pa.array([nodes[k] for k in keep], pa.int64()), "b": pa.array([nodes[keep[r]] for r in roots], pa.int64())})
+        own = [nodes[k] for k in keep]
+        least: dict[int, int] = {}
+        for node, r in zip(own, roots):
+            least[r] = min(node, least.get(r, node))
+        return pa.table({"a": pa.array(own, pa.int64()), "b": pa.array([least[r] for r in roots], pa.int64())})
 
     return members.groupBy("center", "salt").applyInArrow(join, "a long, b long").where("a <> b")
 
@@ -372,8 +376,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     placed = stored(plain.union(heads).join(sizes.select("node", "rep"), "node"))
     rows = placed.count()
     members = _sets_of(docs, placed, rows, size).join(_sized(placed.select("node", "center", "salt"), rows), "node")
-    edges = stored(_blocks(members, percent))
-    first = components(edges)
+    first = stored(components(_blocks(members, percent)))
     # What shares a prefix shingle, met in no block and is not joined yet.  First the most central
     # member of each component is compared with the most central one of the shingle's group, which
     # joins clusters of one large group of copies by few pairs; then every pair that is left.
@@ -399,8 +402,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
             continue
         ends = stored(rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct().join(sizes.select("node", "rep"), "node"))
         sets = _sets_of(docs, ends, ends.count(), size).dropDuplicates(["node"])
-        edges = stored(edges.union(_verify(rest, sets, percent)))
-        first = components(edges)
+        links = stored(_verify(rest, sets, percent))
+        if not links.isEmpty():
+            first = absorb(first, links)
     whole = every.select("doc_id", "node", "n").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
     return whole.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
