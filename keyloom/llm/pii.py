@@ -5,8 +5,9 @@ written.  Disguised ones are found by three transducers, each of which rewrites
 and keeps, for every character it emits, the source span that the character stands for:
 
 1. look-alike letters and digits to ASCII, invisible characters dropped;
-2. runs of spelled digits to digits, ``plus`` before such a run to ``+``;
-3. written-out or bracketed ``at`` and ``dot`` to ``@`` and ``.``.
+2. bracketed ``at`` and ``dot`` to ``@`` and ``.``;
+3. chains of spelled digits, also mixed with written ones and with spelled dots, to
+   digits, ``plus`` before such a chain to ``+``; then written-out ``at`` and ``dot``.
 
 The maps are composed, the base patterns run on the rewritten text, and whatever is
 found there is mapped back to source characters.  A span that a transducer touched and
@@ -114,14 +115,18 @@ _SPELLED = [
 ]
 _DIGIT_WORD = {w: str(k) for line in _SPELLED for k, w in enumerate(line.split())} | {"oh": "0"}
 _WORD = "(?:" + "|".join(sorted(_DIGIT_WORD, key=lambda w: (-len(w), w))) + ")"
-_RUN = re.compile(rf"(?<!\w)(?:plus[\s-]+|\+\s*)?{_WORD}(?:[\s,.-]{{1,3}}{_WORD}){{{LEAST_SPELLED - 1},}}(?!\w)", re.I)
-_RUN_PART = re.compile(rf"plus|\+|{_WORD}", re.I)
+_POINT = r"\s+(?:dot|punkt|punto|point)\s+"
+_ITEM, _BETWEEN = rf"(?:{_WORD}|[0-9]++)(?!\w)", rf"(?:{_POINT}|[\s,.-]{{1,3}})"
+_PAREN = rf"\({_ITEM}(?:{_BETWEEN}{_ITEM})*+\)"
+_CHAIN = re.compile(rf"(?<!\w)(?:plus[\s-]+|\+\s*)?(?:{_ITEM}|{_PAREN})(?:{_BETWEEN}(?:{_ITEM}|{_PAREN}))*+", re.I)
+_CHAIN_PART = re.compile(rf"(?P<plus>(?:plus[\s-]+|\+\s*))|(?P<word>{_WORD})|(?P<digits>[0-9]+)|(?P<paren>[()])|(?P<dot>{_POINT}|\.|\s\.\s)(?=[0-9]|{_WORD})|(?P<gap>[\s,.-]+)", re.I)
+# Ignoring case, patterns also take these letters for s and i.
+_CASE = str.maketrans("ſıİ", "sii")
 
 _AT, _DOT = r"(?:at|ät|arroba|arobase|@)", r"(?:dot|punkt|punto|point|\.)"
 _BRACKETED = re.compile(rf"\s*[\[({{<]\s*({_AT}|{_DOT})\s*[\])}}>]\s*", re.I)
 _NAME = r"[A-Za-z0-9-]+"
 _WRITTEN = re.compile(rf"(?<=[A-Za-z0-9])\s+(?:at|ät|arroba|arobase)\s+(?={_NAME}(?:\s+(?:dot|punkt|punto|point)\s+|\.){_NAME})|(?<=[A-Za-z0-9])\s+(?:dot|punkt|punto|point)\s+(?=[A-Za-z])", re.I)
-_DOT_WORDS = (" dot ", " punkt ", " punto ", " point ", " at ", " arroba ", " arobase ")
 
 
 class Tape:
@@ -133,8 +138,11 @@ class Tape:
         self.last = self.first + 1
         self.touched = np.zeros(len(text), bool)
 
-    def rewrite(self, pattern: re.Pattern, emit: Callable[[re.Match], list[tuple[str, int, int]]]) -> None:
-        """Replace each match by what ``emit`` gives: characters with the spans of this tape that they stand for."""
+    def rewrite(self, pattern: re.Pattern, emit: Callable[[re.Match], list[tuple[str, int, int]] | None]) -> None:
+        """Replace each match by what ``emit`` gives: characters with the spans of this tape that they stand for.
+
+        A match for which it gives None stays.
+        """
         text, first, last, touched = [], [], [], []
         at = 0
 
@@ -145,8 +153,10 @@ class Tape:
             touched.append(self.touched[a:b])
 
         for m in pattern.finditer(self.text):
+            if (now := emit(m)) is None:
+                continue
             keep(at, m.start())
-            for c, a, b in emit(m):
+            for c, a, b in now:
                 text.append(c)
                 first.append(self.first[a : a + 1])
                 last.append(self.last[b - 1 : b])
@@ -168,31 +178,59 @@ def _fold(m: re.Match) -> list[tuple[str, int, int]]:
     return [(plain, m.start(), m.end())] if plain else []
 
 
-def _digits(m: re.Match) -> list[tuple[str, int, int]]:
+def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
+    """A chain in digits, or None where it has nothing spelled or is too short for any identifier.
+
+    Gaps at spelled digits go, but the dots of an IPv4 address and all spelled dots stay.
+    """
+    parts = [(p.lastgroup, p.group(), m.start() + p.start(), m.start() + p.end()) for p in _CHAIN_PART.finditer(m.group())]
+    words = sum(kind == "word" for kind, *_ in parts)
+    points = sum(kind == "dot" and len(w) > 3 for kind, w, *_ in parts)
+    digits = words + sum(len(w) for kind, w, *_ in parts if kind == "digits")
+    if not words + points or (digits < LEAST_SPELLED and sum(kind == "dot" for kind, *_ in parts) < 3):
+        return None
+    pieces, part = [], []
+    for k, (kind, w, *_) in enumerate(parts):
+        part.append(k)
+        if kind == "gap" and ("," in w or "." in w or "\n" in w):
+            pieces.append(part)
+            part = []
+    address = set()
+    for part in [*pieces, part]:
+        inner = [k for k in part if k < part[-1] or parts[k][0] != "gap"]
+        groups = [0]
+        for k in inner:
+            kind, w = parts[k][:2]
+            if kind == "dot":
+                groups.append(0)
+            groups[-1] += 1 if kind == "word" else len(w) if kind == "digits" else 0
+        if len(groups) == 4 and all(1 <= n <= 3 for n in groups):
+            address.update(inner, (part[0] - 1, part[-1]))
     out = []
-    for p in _RUN_PART.finditer(m.group()):
-        w = p.group().lower()
-        out.append(("+" if w in ("plus", "+") else _DIGIT_WORD[w], m.start() + p.start(), m.start() + p.end()))
+    for k, (kind, w, a, b) in enumerate(parts):
+        if kind == "plus":
+            out.append(("+", a, b))
+        elif kind == "word":
+            out.append((_DIGIT_WORD[w.translate(_CASE).lower()], a, b))
+        elif kind == "dot" and (len(w) > 3 or k in address):
+            out.append((".", a, b))
+        elif kind in ("digits", "paren") or (k in address and ("," in w or "." in w or "\n" in w)) or "word" not in (parts[k - 1][0], parts[k + 1][0]):
+            out += [(c, a + j, a + j + 1) for j, c in enumerate(w)]
     return out
 
 
 def _sign(m: re.Match) -> list[tuple[str, int, int]]:
-    w = (m.group(1) if m.re is _BRACKETED else m.group().strip()).lower()
+    w = (m.group(1) if m.re is _BRACKETED else m.group().strip()).translate(_CASE).lower()
     return [("@" if w in ("at", "ät", "arroba", "arobase", "@") else ".", m.start(), m.end())]
 
 
 def deobfuscate(text: str) -> Tape | None:
     """The rewritten text, or None where no transducer has anything to do."""
-    odd = not text.isascii() and _ODD.search(text)
-    low = text.lower()
-    spelled = sum(map(_DIGIT_WORD.__contains__, re.split(r"[\s,.-]+", low) if odd or "-" in low else low.split())) >= LEAST_SPELLED
-    if not (odd or spelled or any(w in low for w in _DOT_WORDS[:4]) or _BRACKETED.search(text) or (any(w in low for w in _DOT_WORDS[4:]) and _WRITTEN.search(text))):
-        return None
     tape = Tape(text)
-    if odd:
+    if not text.isascii():
         tape.rewrite(_ODD, _fold)
-    tape.rewrite(_RUN, _digits)
     tape.rewrite(_BRACKETED, _sign)
+    tape.rewrite(_CHAIN, _digits)
     tape.rewrite(_WRITTEN, _sign)
     return tape if tape.touched.any() or len(tape.text) < len(text) else None
 

@@ -67,6 +67,35 @@ def test_pii_disguises_map_back(text, span):
     assert [(pii.KINDS[k], text[a:b]) for a, k, b in found] == [span] and not base
 
 
+@pytest.mark.parametrize(
+    "text, span",
+    [
+        ("call plus one, five, five, five, one, two, three, four, five, six, seven ok", ("phone", "plus one, five, five, five, one, two, three, four, five, six, seven")),
+        ("jo ät firma.de", ("email", "jo ät firma.de")),
+        ("at one two seven dot zero dot zero dot one now", ("ip", "one two seven dot zero dot zero dot one")),
+        ("at 127 dot zero dot 0 dot one, two", ("ip", "127 dot zero dot 0 dot one")),
+        ("one nine two.one six eight.zero.one. Two", ("ip", "one nine two.one six eight.zero.one")),
+        ("one two seven [dot] zero [dot] zero [dot] one", ("ip", "one two seven [dot] zero [dot] zero [dot] one")),
+        ("call +1 555 one two three 4567 ok", ("phone", "+1 555 one two three 4567")),
+        ("call plus one (five five five) one two three 4567", ("phone", "plus one (five five five) one two three 4567")),
+        ("4111 1111 one one one one 1111 x", ("card", "4111 1111 one one one one 1111")),
+        ("four.one.one.one." + ".".join(["one"] * 12) + " x", ("card", "four.one.one.one." + ".".join(["one"] * 12))),
+        ("plus one five five five one two three four five ſix seven", ("phone", "plus one five five five one two three four five ſix seven")),
+        ("plus one five five five one two three four five six seven fourth", ("phone", "plus one five five five one two three four five six seven")),
+    ],
+)
+def test_pii_short_mixed_and_punctuated_runs(text, span):
+    base, found = pii.all_spans(text)
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in found] == [span] and not base
+
+
+def test_pii_chains_are_linear_and_leave_prose_alone():
+    for t in ("one " * 50_000, "1 one" * 40_000, "one dot " * 25_000, "(one " * 40_000, "plus one, " * 20_000, "one " * 50_000 + "fourth", "(" + "one " * 50_000, "1." * 100_000 + "x"):
+        pii.all_spans(t)
+    for t in ("in 2001, two of three; 4 dot one", "one dot two dot three", "(one) and 2, three", "rows 1, 2, three, 4, five, 6, 7, eight"):
+        assert pii.all_spans(t)[1] == []
+
+
 def test_pii_leaves_prose_alone():
     for t in ("one of two, at home. three dots", "we met at noon dot", "un deux trois", "price [.] at (home)"):
         assert pii.all_spans(t)[1] == []
