@@ -32,8 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that stand earlier in the corpus; a text of which nothing is left goes."""
-    done, dropped = linededup.deduplicate(docs)
+    """Texts without lines, short ones too, that stand earlier in the corpus; a text of which nothing is left goes."""
+    done, dropped = linededup.deduplicate(docs, min_chars=linededup.LEAST_EDITED, short=True)
     empty = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return _same_columns(docs, done.where(~((F.col(dropped) > 0) & empty)))
 

@@ -2,7 +2,8 @@
 
 A line of at least MIN_CHARS code points is dropped when an equal line, or one within
 edit distance K, stands earlier in the corpus (by id, then place in the text).  Shorter
-lines are left alone.  The remaining lines of a text are joined again.
+lines are left alone, or with ``short`` go where an equal one stands earlier; lines without
+a word stay.  The remaining lines of a text are joined again.
 
 1. Equal lines fall into classes by 128-bit hash; a class stands where it first occurs.
 2. A class is cut into K + 1 segments; a line within distance K holds one of them
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .frames import free_name, stored, table
 
 MIN_CHARS = 40
+#: Below this, K edits make one word of another ("Was.", "Es."), so only equal lines are repeats.
+LEAST_EDITED = 10
 K = 2
 MOST_BROADCAST = 1_000_000
 
@@ -163,13 +166,17 @@ def _matches(pairs: DataFrame, docs: DataFrame, min_chars: int, k: int) -> DataF
     return both.where(within(F.col("line_later"), F.col("line_earlier"), k)).select("later", "earlier")
 
 
-def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, k: int = K) -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, k: int = K, short: bool = False) -> DataFrame:
     """(d, p) of every line of docs (d, text) that goes."""
     if min_chars < k + 1:
         raise ValueError("min_chars must be above k")
-    lines = _lines(docs, min_chars)
+    lines = _lines(docs, 1 if short else min_chars)
     index, probe = segment_keys(F.col("line"), F.col("n"), k)
-    hashed = lines.select("d", "p", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(k), "line").alias("g"), F.array(*index, *probe).alias("keys"))
+    keys = F.array(*index, *probe)
+    if short:  # a short line has no keys: only its equals are in its class
+        lines = lines.where((F.col("n") >= min_chars) | F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+        keys = F.when(F.col("n") >= min_chars, keys).otherwise(F.array().cast("array<bigint>"))
+    hashed = lines.select("d", "p", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(k), "line").alias("g"), keys.alias("keys"))
     classes = stored(hashed.groupBy("h", "g").agg(F.min(F.struct("d", "p")).alias("at"), F.first("keys").alias("keys")))
     met = classes.select("at", F.posexplode("keys").alias("i", "key")).select("key", "at", (F.col("i") >= len(index)).alias("probe")).repartition("key")
     # Per key: the earliest indexed line meets every row, the earliest probing line every indexed row.
@@ -199,9 +206,9 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, k: int = K) ->
     return hashed.select("h", "g", "d", "p").join(verdict, ["h", "g"]).where(F.col("near") | (at != F.col("kept_at"))).select("d", "p").distinct()
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, k: int = K) -> tuple[DataFrame, str]:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, k: int = K, short: bool = False) -> tuple[DataFrame, str]:
     """``docs`` with the text's dropped lines gone, and an added count column, whose name is returned."""
-    gone = duplicate_lines(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text")), min_chars, k)
+    gone = duplicate_lines(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text")), min_chars, k, short)
     name, own, places = free_name(docs, "n_dropped"), free_name(docs, "dedup_id"), free_name(docs, "dedup_places")
     gone = stored(gone.groupBy(F.col("d").alias(own)).agg(F.sort_array(F.collect_list("p")).alias(places)))
     gone = _few(gone, gone.count())

@@ -58,6 +58,22 @@ def test_stages(spark, tmp_path):
     assert all(r.n_tokens == len(r.ids) for r in after)
 
 
+def test_line_dedup_drops_short_repeats(spark):
+    rnd = random.Random(6)
+    short = ["All rights reserved.", "All right reserved.", "Released under the MIT License.", "Was.", "Es.", "a", "", "  ", "é漢", "Ten chars.", "Ten chars!"]
+    rows = [(i, "\n".join([f"own {i} " + "".join(rnd.choice("abcdefgh ") for _ in range(50))] + [rnd.choice(short) for _ in range(rnd.randint(0, 5))])) for i in range(40)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    gone, seen = brute_lines(rows, 10, 2), set()
+    for i, t in rows:
+        for p, line in enumerate(t.split("\n")):
+            if WORD.search(line) and line in seen:
+                gone.add((i, p))
+            seen.add(line)
+    want = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in rows}
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert got == want and sum(t.count("All rights reserved.") for t in got.values()) <= 1
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, "a b c d e f", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()] == [1]
