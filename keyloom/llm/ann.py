@@ -8,8 +8,10 @@ into the bucket, given where the query lies in its own cell - until the chances
 SUCCESS in each table.  Candidates of all tables are merged and ranked by their exact
 cosine in double precision.
 
-The neighbour distance is fitted on a bounded sample (FIT_ROWS rows in hash order);
-a sample's neighbours are farther than the whole table's, so the fit errs to more probes.
+The neighbour distance is fitted on a bounded sample of the distinct vectors (FIT_ROWS in
+hash order), and holds for most queries, not all.  A query whose k-th found neighbour is
+farther, or that found fewer than k, is run again with that distance as its own (a bound of
+the true one); one that still has fewer than k is compared with every vector.
 Every row is indexed.  Equal vectors are stored once, with the k + 1 smallest ids, which
 is all that a result can name.  Buckets and their queries are dealt in blocks of bounded
 size, so a popular bucket is no single task.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .frames import map_arrow, stored, table
 
 TABLES, PROJECTIONS, WIDTH, SUCCESS, REACH = 2, 6, 2.5, 0.83, 2
-FIT_ROWS, FIT_QUERIES = 4000, 400
+FIT_ROWS, FIT_QUERIES, FIT_SHARE = 4000, 400, 0.95
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_000
 K = 5
 SEED = 11
@@ -69,16 +71,16 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, dim: int, k: int = K) -> Hashing:
-    """Draw the projections and fit the distance on at most FIT_ROWS of (id, vec)."""
+    """Draw the projections and fit the distance on at most FIT_ROWS of distinct (vec)."""
     rng = np.random.default_rng(SEED)
     planes = rng.normal(size=(TABLES, dim, PROJECTIONS))
     offsets = rng.uniform(0, WIDTH, (TABLES, PROJECTIONS))
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vec").toArrow().column("vec").combine_chunks()
+    sample = vectors.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(FIT_ROWS).toArrow().column("vec").combine_chunks()
     distance = 1.0
     if len(sample) > k:
         unit = _unit(_matrix(sample))
         near = np.partition(-(unit[:FIT_QUERIES] @ unit.T), k, axis=1)[:, k]
-        distance = float(np.quantile(np.sqrt(np.maximum(2 + 2 * near, 0)), 0.75))
+        distance = float(np.quantile(np.sqrt(np.maximum(2 + 2 * near, 0)), FIT_SHARE))
     return Hashing(planes, offsets, max(distance, 0.05))
 
 
@@ -90,15 +92,15 @@ def _cell(cells: np.ndarray) -> np.ndarray:
     return name
 
 
-def probes(hashing: Hashing, unit: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, table, buckets) in estimated success order."""
+def probes(hashing: Hashing, unit: np.ndarray, distance: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, table, buckets) in estimated success order, for each row's neighbour distance."""
     shifts = np.arange(-REACH, REACH + 1)
     cdf = np.vectorize(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)))
     grid = np.stack(np.meshgrid(*[np.arange(len(shifts))] * PROJECTIONS, indexing="ij"), -1).reshape(-1, PROJECTIONS)
     places = hashing.places(unit)
     for t in range(TABLES):
         home = np.floor(places[t])
-        edge = (home[:, :, None] + np.arange(-REACH, REACH + 2) - places[t][:, :, None]) * (WIDTH / hashing.distance)
+        edge = (home[:, :, None] + np.arange(-REACH, REACH + 2) - places[t][:, :, None]) * (WIDTH / distance)[:, None, None]
         chance = np.diff(cdf(edge), axis=2)
         for r in range(len(unit)):
             all_ = np.ones(1)
@@ -147,10 +149,11 @@ def search(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
     if dim is None:
         return rows.sparkSession.createDataFrame([], schema)
     base, asked = base.where(F.size("vec") == dim[0]), asked.where(F.size("vec") == dim[0])
-    hashing = fit(base, dim[0], k)
-    shared = rows.sparkSession.sparkContext.broadcast(hashing)
     few = Window.partitionBy("vec").orderBy("id")
     one = base.distinct().withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    one = stored(one.select("vec", "ids"))
+    hashing = fit(one, dim[0], k)
+    shared = rows.sparkSession.sparkContext.broadcast(hashing)
 
     def index(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         cells = _cell(np.floor(shared.value.places(_unit(_matrix(batch.column(0))))))
@@ -159,31 +162,58 @@ def search(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
 
     def visit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         row, tab, cell = [], [], []
-        for r, t, cells in probes(shared.value, _unit(_matrix(batch.column(1)))):
+        for r, t, cells in probes(shared.value, _unit(_matrix(batch.column(1))), batch.column(2).to_numpy()):
             row.append(np.full(len(cells), r))
             tab.append(np.full(len(cells), t, np.int32))
             cell.append(cells)
         row = np.concatenate(row)
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.concatenate(tab)), pa.array(np.concatenate(cell))], names=["query", "t", "cell"])
 
-    # The visits name their query only; vectors join once the empty buckets are gone.
-    indexed = stored(map_arrow(one.select("vec", "ids"), index, "vec array<double>, ids array<long>, t int, cell long"))
-    asked = stored(asked.groupBy("id").agg(F.first("vec").alias("vec")))
-    visits = map_arrow(asked.select("id", "vec"), visit, "query long, t int, cell long")
+    indexed = stored(map_arrow(one, index, "vec array<double>, ids array<long>, t int, cell long"))
     filled = indexed.groupBy("t", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
-    visits = stored(visits.join(filled, ["t", "cell"]))
-    loads = visits.groupBy("t", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("shares"))
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    left = indexed.join(filled, ["t", "cell"]).join(loads, ["t", "cell"]).select("t", "cell", mine("vec", "parts").alias("part"), upto("shares").alias("share"), "vec", "ids")
-    right = visits.join(loads, ["t", "cell"]).select("t", "cell", upto("parts").alias("part"), mine("query", "shares").alias("share"), "query").join(asked.withColumnRenamed("id", "query"), "query")
-    keys = ["t", "cell", "part", "share"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _rank(a, b, k), "query long, id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return (
-        found.groupBy("query", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        .select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
-    )
+    asked = stored(asked.groupBy("id").agg(F.first("vec").alias("vec")).withColumnRenamed("id", "query"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    mine = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+
+    def compare(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _rank(a, b, k), "query long, id long, score double")
+
+    def near(wanted: DataFrame) -> DataFrame:
+        """Found by (query, vec, reach) in the buckets that their reach asks for."""
+        # The visits name their query only; vectors join once the empty buckets are gone.
+        visits = map_arrow(wanted.select("query", "vec", "reach"), visit, "query long, t int, cell long")
+        visits = stored(visits.join(filled, ["t", "cell"]))
+        loads = visits.groupBy("t", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("shares"))
+        left = indexed.join(filled, ["t", "cell"]).join(loads, ["t", "cell"]).select("t", "cell", mine("vec", F.col("parts")).alias("part"), upto(F.col("shares")).alias("share"), "vec", "ids")
+        right = visits.join(loads, ["t", "cell"]).select("t", "cell", upto(F.col("parts")).alias("part"), mine("query", F.col("shares")).alias("share"), "query").join(wanted.select("query", "vec"), "query")
+        return compare(left, right, ["t", "cell", "part", "share"])
+
+    def everywhere(wanted: DataFrame, n: int) -> DataFrame:
+        """Found by (query, vec), n of them, among all vectors."""
+        parts, shares = F.lit(math.ceil(one.count() / BLOCK_ROWS)), F.lit(math.ceil(n / BLOCK_QUERIES))
+        left = one.select(mine("vec", parts).alias("part"), upto(shares).alias("share"), "vec", "ids")
+        right = wanted.select(upto(parts).alias("part"), mine("query", shares).alias("share"), "query", "vec")
+        return compare(left, right, ["part", "share"])
+
+    def ranked(found: DataFrame) -> DataFrame:
+        best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        return stored(found.groupBy("query", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+
+    def with_reach(found: DataFrame) -> DataFrame:
+        """(query, vec, short, reach): whether fewer than k were found, and how far the k-th is."""
+        so_far = found.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+        short = F.coalesce(F.col("n"), F.lit(0)) < k
+        reach = F.when(short, math.sqrt(2)).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("least"))))
+        return asked.join(so_far, "query", "left").select("query", "vec", short.alias("short"), reach.alias("reach"))
+
+    found = ranked(near(asked.withColumn("reach", F.lit(hashing.distance))))
+    again = stored(with_reach(found).where(F.col("short") | (F.col("reach") > hashing.distance)))
+    if not again.isEmpty():
+        found = ranked(found.drop("rank").unionByName(near(again)))
+        again = stored(with_reach(found).where("short"))
+        if n := again.count():
+            found = ranked(found.drop("rank").unionByName(everywhere(again, n)))
+    return found.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
 def op3_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:

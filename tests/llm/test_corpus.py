@@ -53,6 +53,27 @@ def test_ann_recall_ties_and_edges(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_ann_lone_queries_among_copies(spark):
+    rng = np.random.default_rng(1)
+    lone = rng.normal(size=(200, 16))
+    x = {i: v for i, v in enumerate(lone)}
+    for c, center in enumerate(rng.normal(size=(40, 16))):  # most rows in tight near copies or in copies
+        for k in range(24):
+            x[1000 + 24 * c + k] = center + (rng.normal(size=16) * 1e-4 if c % 2 else 0)
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in x.items()], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df, df.where("vec_id < 200 and vec_id % 4 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hit = 0
+    for q in range(0, 200, 4):
+        cos = {i: float(x[q] @ v / np.linalg.norm(x[q]) / np.linalg.norm(v)) for i, v in x.items() if i != q}
+        fifth = sorted(cos.values())[-5]
+        assert len(got[q]) == 5
+        hit += sum(cos[i] >= fifth - 1e-9 for i in got[q])
+    assert hit / 250 >= 0.9, hit / 250
+    print("recall of lone queries", hit / 250)
+
+
 # ---- line dedup ------------------------------------------------------------------------
 
 
