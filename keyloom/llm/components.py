@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import stored
+from .frames import stored, tidy
+
+PART_ROWS = 100_000
 
 
 def _is_settled(edges: DataFrame) -> bool:
@@ -19,8 +21,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps with a reliable checkpoint each round;
     minima are pre-aggregated, so a node with very many neighbours is no bottleneck.
+    The number of edges never grows, so few edges stay in few partitions.
     """
     found = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    parts = 1 + found.count() // PART_ROWS
+    found = found.coalesce(parts)
     for _ in range(most_rounds):
         if _is_settled(found):
             break
@@ -30,7 +35,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.union(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        found = stored(small.where("a <> b").distinct())
+        found = stored(small.where("a <> b").distinct().coalesce(parts))
+    tidy(edges.sparkSession)
     roots = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 

@@ -25,15 +25,31 @@ def shared_folder(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, path, ignore_errors=True)
         sc.setCheckpointDir(path)
         where = sc._jsc.sc().getCheckpointDir()
+        remove_at_exit(spark, where.get())
     return where.get()
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder of the shared store removed when the driver ends; results may be read from it until then."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have shuffle files and checkpoints that nothing refers to any more removed now.
+
+    Spark's cleaner follows the driver's garbage collector, which it starts itself only
+    every half an hour; jobs of many steps would keep all of their intermediates until then.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, lengthened until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

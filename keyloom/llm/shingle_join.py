@@ -4,22 +4,28 @@ A document's set holds its distinct five-word shingles; two documents link when
 100 * intersection >= 75 * union.  The join is exact:
 
 1. Sets are ordered by one fixed order of shingles - rare before frequent, by a fixed-size
-   count table, then by hash.  Linked sets share a shingle among their first n/4 + 1 (prefix
-   filter), so only documents that share such a shingle are ever compared.  Equal sets are
-   one node.
+   count table, then by hash.  Of two linked sets, a shingle among the first seventh of the
+   smaller one stands among the first quarter of the larger one (prefix filter), so only
+   documents that share such a shingle are ever compared.  Equal sets are one node.
 2. Each shingle's group names its most central member.  Nodes are gathered once, with
    their sets, around the member that they share most shingles with, in blocks of bounded
-   size.  A block builds a signature tree: leaves hold exact token bitmaps, inner nodes
+   size.  A block is joined by a signature tree: leaves hold token bitmaps, inner nodes
    their OR and size range, and a dual traversal drops node pairs whose greatest possible
    overlap is too small or that are already one component.
-3. Pairs that share a prefix shingle but met in no block and are in different components
-   are compared last: signatures bound their overlap, sets decide.
+3. Shingles whose group still spans components are open.  First the most central member of
+   each component meets the most central one of the group.  What stays open is joined by
+   the same trees, by shingle and size band: large groups are dealt in chunks, every two
+   chunks meet in one task, and no pair is ever a row.  Trees over bitmaps alone first tell
+   who may link with whom; only members of such candidate groups bring their sets, once for
+   all their shingles, and are joined exactly.
 
 Hashes have 64 bits, for shingles and for whole sets.
 
 Edge cases: null text, and text without words, is the empty set and links with nothing;
-fewer than five words are one shingle; repeated rows share a component; a null id is
-never smallest while another id is there; an empty table gives no rows.
+fewer than five words are one shingle; a text of any length is one set, scanned whole;
+repeated rows share a component, and rows that repeat an id with other texts are separate
+documents; a null id is never smallest while another id is there; columns besides id and
+text, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,18 +34,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import absorb, components
-from .frames import map_arrow, stored, table
+from .frames import map_arrow, stored, table, tidy
 
 WORDS, PERCENT = 5, 75
-SKETCH_BITS = 20
-BLOCK_SHINGLES = 1_500_000
-LEAF = 8
-CENTRAL_ROUNDS = 1
+SKETCH_BITS, SLABS = 20, 64
+BLOCK_SHINGLES = 1_000_000
+CHUNK_MEMBERS = 1500
+LEAF, FAN = 16, 4
+BATCH_PAIRS = 1 << 14
 #: Tables of so many ids at most are broadcast (16 bytes each); larger ones are joined by a shuffle.
 MOST_BROADCAST = 4_000_000
 
@@ -78,9 +85,9 @@ def _node(own: np.ndarray) -> int:
     return int(W.mix(np.array([W.mix(own).sum(dtype=np.uint64) + np.uint64(len(own))]))[0].astype(np.int64))
 
 
-def _signature(own: np.ndarray) -> bytes:
-    """A bitmap of twice as many bits as shingles, rounded up to a power of two."""
-    bits = max(64, 1 << (2 * len(own) - 1).bit_length())
+def _signature(own: np.ndarray, more: int = 1) -> bytes:
+    """A bitmap of twice (times ``more``) as many bits as shingles, rounded up to a power of two."""
+    bits = max(64, 1 << (2 * more * len(own) - 1).bit_length())
     flags = np.zeros(bits, np.uint8)
     flags[(own >> np.uint64(3)) & np.uint64(bits - 1)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -103,9 +110,11 @@ def _may_link(na: int, nb: int, a: bytes, b: bytes, percent: int) -> bool:
 
 
 def frequent_cells(docs: DataFrame, size: int) -> np.ndarray:
-    """Counts of all shingles in a fixed table of cells; cells within the noise are 0.
+    """Counts of all shingles in a fixed table of cells.
 
-    The table only sets the order of shingles, so it affects speed, not results.
+    The table only sets the order of shingles, so it affects speed, not results: a shingle
+    that many documents share stands out from the others in its cell and goes last.  Tasks
+    send it in SLABS parts of packed counts, which are summed apart.
     """
     cells = 1 << SKETCH_BITS
 
@@ -116,20 +125,26 @@ def frequent_cells(docs: DataFrame, size: int) -> np.ndarray:
             for a, b in W.slices(texts):
                 found, _, _ = _hashes(texts.slice(a, b - a), size)
                 total += np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
-        hit = np.flatnonzero(total)
-        if len(hit):
-            yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], names=["cell", "n"])
-
-    sums = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        if total.any():
+            packed = [x.tobytes() for x in np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32).reshape(SLABS, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLABS), pa.int32()), pa.array(packed, pa.binary())], names=["slab", "counts"])
+
+    def add(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells // SLABS, np.int64)
+        for part in parts:
+            for x in part.column("counts"):
+                total += np.frombuffer(x.as_buffer(), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slab", "counts"])
+
+    sums = docs.select("text").mapInArrow(run, "slab int, counts binary").groupBy("slab").applyInArrow(add, "slab int, counts binary").toArrow()
     counts = np.zeros(cells, np.int64)
-    counts[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
-    usual = float(np.median(counts))
-    counts[counts <= usual + 4 * usual**0.5 + 4] = 0
+    for slab, x in zip(sums.column("slab").to_pylist(), sums.column("counts").to_pylist()):
+        counts.reshape(SLABS, -1)[slab] = np.frombuffer(x, np.int64)
     return np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
 def prepare(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, node, n, tokens, sig) of (doc_id, text); node is null for the empty set."""
+    """(doc_id, node, n, tokens, sig) of (doc_id, text), and what columns follow these; node is null for the empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_cells(docs, size))
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -146,143 +161,161 @@ def prepare(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 continue
             nodes.append(_node(own))
             sigs.append(_signature(own))
-            keep = n - -(-percent * n // 100) + 1
+            keep = _prefix(n, percent)
             count = cells[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            if count[:keep].any():
-                own = own[np.lexsort((own, count))]
-            tokens.append(own[:keep].view(np.int64))
+            tokens.append(own[np.argsort(count, kind="stable")[:keep]].view(np.int64))
         lengths = np.zeros(len(nodes) + 1, np.int32)
         np.cumsum([0 if t is None else len(t) for t in tokens], out=lengths[1:])
         flat = np.concatenate([t for t in tokens if t is not None] or [np.zeros(0, np.int64)])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)), pa.array(sigs, pa.binary())],
-            names=["doc_id", "node", "n", "tokens", "sig"],
+            [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)), pa.array(sigs, pa.binary()), *batch.columns[2:]],
+            names=["doc_id", "node", "n", "tokens", "sig", *docs.columns[2:]],
         )
 
-    return map_arrow(docs, rows, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, n long, tokens array<long>, sig binary")
+    own = "".join(f", `{c}` {t}" for c, t in docs.dtypes[2:])
+    return map_arrow(docs, rows, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, n long, tokens array<long>, sig binary{own}")
 
 
 # ---- signature trees -------------------------------------------------------------------
 
 
-class _Tree:
-    """A node of a signature tree over documents ``lo`` to ``hi`` of a block, sorted by size."""
+def _prefix(n: int, percent: int) -> int:
+    """How many first shingles of n a set must share with any linked one."""
+    return n - -(-percent * n // 100) + 1
+
+
+def _reach(n: Column, place: Column, percent: int) -> Column:
+    """The greatest size of a linked set whose first common shingle is this one, ``place`` shingles from the first.
+
+    What stands from there on must suffice for the overlap: need(n, m) <= n - place.
+    """
+    return (F.floor((100 + percent) * (n - place) / percent) - n).cast("int")
 
-    __slots__ = ("lo", "hi", "bits", "least", "most", "left", "right", "one")
 
-    def __init__(self, lo: int, hi: int, bitmaps: list[int], sizes: list[int]):
-        self.lo, self.hi, self.one = lo, hi, hi - lo == 1
-        self.least, self.most = sizes[lo], sizes[hi - 1]
-        if hi - lo <= LEAF:
-            self.left = self.right = None
-            self.bits = 0
-            for x in bitmaps[lo:hi]:
-                self.bits |= x
-        else:
-            mid = (lo + hi) // 2
-            self.left, self.right = _Tree(lo, mid, bitmaps, sizes), _Tree(mid, hi, bitmaps, sizes)
-            self.bits = self.left.bits | self.right.bits
+def _bitmaps(sigs: list[bytes]) -> np.ndarray:
+    """Signatures as rows of 64-bit words, folded to the width of the shortest."""
+    words = min(map(len, sigs)) // 8
+    out = np.empty((len(sigs), words), np.uint64)
+    for k, x in enumerate(sigs):
+        out[k] = np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, words), axis=0)
+    return out
 
 
-class SignatureJoin:
-    """Components of the links within one block, by dual traversal of its signature tree.
+class SignatureTree:
+    """Sets sorted by size, in leaves of LEAF under nodes of FAN children.
 
-    A bitmap has one bit for each shingle that at least two of the block's sets hold, so
-    the AND of two leaves counts their intersection exactly, and the AND of two inner
-    nodes bounds it.
+    A node holds the OR of its sets' bitmaps, its size range and its greatest slack, the
+    number of shingles that share a bit with another one of their set.  The overlap of any
+    two sets of two nodes is at most the bits that both nodes have plus the lesser slack.
     """
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.percent = percent
-        order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
-        self.order = order
-        self.sizes = [len(sets[k]) for k in order]
-        flat = np.concatenate([sets[k] for k in order]) if order else np.zeros(0, np.uint64)
-        values, place, count = np.unique(flat, return_inverse=True, return_counts=True)
-        bit = np.cumsum(count > 1) - 1
-        ends = np.cumsum(self.sizes)
-        self.bitmaps = []
-        width = int((count > 1).sum())
-        for k, n in enumerate(self.sizes):
-            at = place[ends[k] - n : ends[k]]
-            flags = np.zeros(width, np.uint8)
-            flags[bit[at[count[at] > 1]]] = 1
-            self.bitmaps.append(int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little"))
-        self.parent = list(range(len(order)))
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, roots: np.ndarray, percent: int):
+        self.percent, self.sizes, self.bits, self.roots = percent, sizes, bits, roots
+        own = np.bitwise_count(bits).sum(1, dtype=np.int64)
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        level = (bits, sizes, sizes, sizes - own)
+        for width in (LEAF, *[FAN] * 64):
+            at = np.arange(0, len(level[0]), width)
+            last = np.minimum(at + width, len(level[0])) - 1
+            level = (np.bitwise_or.reduceat(level[0], at, axis=0), level[1][at], level[2][last], np.maximum.reduceat(level[3], at))
+            self.levels.append(level)
+            if len(at) <= FAN:
+                break
         self.compared = 0
 
-    def _find(self, k: int) -> int:
-        parent = self.parent
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    def _need(self, a: int, b: int) -> int:
+    def need(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return -(-self.percent * (a + b) // (100 + self.percent))
 
-    def _single(self, t: _Tree) -> bool:
-        """Whether all of a tree node is one component; once so, always so."""
-        if not t.one:
-            if t.left is None:
-                root = self._find(t.lo)
-                t.one = all(self._find(k) == root for k in range(t.lo + 1, t.hi))
-            else:
-                t.one = self._single(t.left) and self._single(t.right) and self._find(t.left.lo) == self._find(t.right.lo)
-        return t.one
-
-    def _pair(self, i: int, j: int) -> None:
-        a, b = self._find(i), self._find(j)
+    def _single(self, x: np.ndarray, y: np.ndarray, sets: int) -> np.ndarray:
+        """Whether all sets of two nodes of so many sets are one component."""
+        at = np.arange(0, len(self.roots), sets)
+        low, high = np.minimum.reduceat(self.roots, at), np.maximum.reduceat(self.roots, at)
+        return (low[x] == high[x]) & (low[x] == low[y]) & (low[y] == high[y])
+
+    def _leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of leaves (x <= y) that may hold a link between two components."""
+        x, y = np.triu_indices(len(self.levels[-1][1]))
+        for k in range(len(self.levels) - 1, -1, -1):
+            bits, least, most, slack = self.levels[k]
+            keep = (100 * most[x] >= self.percent * least[y]) & ~self._single(x, y, LEAF * FAN**k)
+            x, y = x[keep], y[keep]
+            keep = np.ones(len(x), bool)
+            for a in range(0, len(x), BATCH_PAIRS):
+                u, v = x[a : a + BATCH_PAIRS], y[a : a + BATCH_PAIRS]
+                both = np.bitwise_count(bits[u] & bits[v]).sum(1, dtype=np.int64) + np.minimum(slack[u], slack[v])
+                keep[a : a + BATCH_PAIRS] = (u == v) | (both >= self.need(least[u], least[v]))
+            x, y = x[keep], y[keep]
+            if k:
+                u, v = np.divmod(np.arange(FAN * FAN), FAN)
+                x, y = (FAN * x[:, None] + u).ravel(), (FAN * y[:, None] + v).ravel()
+                keep = (x <= y) & (y < len(self.levels[k - 1][1]))
+                x, y = x[keep], y[keep]
+        return x, y
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of sets that may link, the smaller first, while ``roots`` keeps them apart."""
+        x, y = self._leaves()
+        u, v = np.divmod(np.arange(LEAF * LEAF), LEAF)
+        step = BATCH_PAIRS // (LEAF * LEAF)
+        for a in range(0, len(x), step):
+            i, j = (LEAF * x[a : a + step, None] + u).ravel(), (LEAF * y[a : a + step, None] + v).ravel()
+            keep = (i < j) & (j < len(self.sizes))
+            i, j = i[keep], j[keep]
+            keep = (self.roots[i] != self.roots[j]) & (100 * self.sizes[i] >= self.percent * self.sizes[j])
+            i, j = i[keep], j[keep]
+            if len(i):
+                p, q, need = self.bits[i], self.bits[j], self.need(self.sizes[i], self.sizes[j])
+                missing = lambda p, q: np.bitwise_count(p & ~q).sum(1, dtype=np.int64)
+                keep = (self.sizes[i] - missing(p, q) >= need) & (self.sizes[j] - missing(q, p) >= need)
+                yield i[keep], j[keep]
+
+
+def links_within(sets: list[np.ndarray], percent: int, center: int | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """For each sorted set the place of its component's first set, and how many pairs were compared.
+
+    ``center`` meets every set before the tree is walked.  Sets with equal ``known`` are one
+    component already.
+    """
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    own = [sets[k] for k in order]
+    sizes = np.array([len(x) for x in own], np.int64)
+    roots = np.arange(len(own))
+    if known is not None:
+        _, first, of = np.unique(known[order], return_index=True, return_inverse=True)
+        roots = first[of]
+    compared = 0
+
+    def meet(i: int, j: int) -> None:
+        nonlocal compared
+        a, b = roots[i], roots[j]
         if a != b:
-            need = self._need(self.sizes[i], self.sizes[j])
-            if min(self.sizes[i], self.sizes[j]) >= need:
-                self.compared += 1
-                if (self.bitmaps[i] & self.bitmaps[j]).bit_count() >= need:
-                    self.parent[max(a, b)] = min(a, b)
-
-    def _cross(self, x: _Tree, y: _Tree) -> None:
-        """``x`` stands before ``y``, so it holds the smaller sets."""
-        if 100 * x.most < self.percent * y.least:
-            return
-        if (x.bits & y.bits).bit_count() < self._need(x.least, y.least):
-            return
-        if self._single(x) and self._single(y) and self._find(x.lo) == self._find(y.lo):
-            return
-        if x.left is None and y.left is None:
-            for i in range(x.lo, x.hi):
-                for j in range(y.lo, y.hi):
-                    self._pair(i, j)
-        elif y.left is None or (x.left is not None and x.hi - x.lo >= y.hi - y.lo):
-            self._cross(x.right, y)
-            self._cross(x.left, y)
-        else:
-            self._cross(x, y.left)
-            self._cross(x, y.right)
-
-    def _within(self, t: _Tree) -> None:
-        if t.left is None:
-            for i in range(t.lo, t.hi):
-                for j in range(i + 1, t.hi):
-                    self._pair(i, j)
-        else:
-            self._within(t.left)
-            self._within(t.right)
-            self._cross(t.left, t.right)
-
-    def roots(self) -> list[int]:
-        """For each input set the place of its component's first set."""
-        out = [0] * len(self.order)
-        if self.order:
-            self._within(_Tree(0, len(self.order), self.bitmaps, self.sizes))
-        for k, own in enumerate(self.order):
-            out[own] = self.order[self._find(k)]
-        return out
+            compared += 1
+            x, y = (own[i], own[j]) if len(own[i]) <= len(own[j]) else (own[j], own[i])
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            both = int((y[at] == x).sum())
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                roots[roots == max(a, b)] = min(a, b)
+
+    if center is not None:
+        c = int(np.flatnonzero(order == center)[0])
+        for k in np.flatnonzero((100 * np.minimum(sizes, sizes[c]) >= percent * np.maximum(sizes, sizes[c]))):
+            meet(c, int(k))
+    if len(own) > 1 and (roots != roots[0]).any():
+        for i, j in SignatureTree(sizes, _bitmaps([_signature(x, 2) for x in own]), roots, percent).pairs():
+            for a, b in zip(i.tolist(), j.tolist()):
+                meet(a, b)
+    first = np.full(len(own), len(own))
+    np.minimum.at(first, roots, order)
+    out = np.empty(len(own), np.int64)
+    out[order] = first[roots]
+    return out, compared
 
 
 # ---- the join --------------------------------------------------------------------------
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
+def sized(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint where ``rows``, which was counted, is within the bound."""
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
@@ -290,7 +323,7 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 def _sets_of(docs: DataFrame, wanted: DataFrame, rows: int, size: int) -> DataFrame:
     """(node, own) of the documents that stand for ``wanted`` (node, rep)."""
     reps = wanted.select(F.col("rep")).distinct()
-    picked = docs.join(_sized(reps, rows), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    picked = docs.join(sized(reps, rows), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
     def made(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = [x for x in shingle_sets(W.column(batch, "text"), size) if len(x)]
@@ -300,39 +333,49 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rows: int, size: int) -> DataFr
 
 
 def _prune(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and signatures allow, with any other column they have."""
-    side = lambda s: info.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sig").alias(f"sig{s}"))
-    fits = (F.least("na", "nb") * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(fits)
-    kept = pairs.columns
+    """The pairs (a, b, na, nb) that sizes and signatures allow, with any other column but the sizes."""
+    pairs = stored(pairs.where(F.least("na", "nb") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))))
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sigs = info.select("node", "sig").join(sized(ends, ends.count()), "node", "left_semi")
+    side = lambda s: sigs.select(F.col("node").alias(s), F.col("sig").alias(f"sig{s}"))
+    kept = [c for c in pairs.columns if c not in ("na", "nb")]
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("na", "nb", "siga", "sigb")]
         yes = pa.array([_may_link(*x, percent) for x in zip(*cols)], pa.bool_())
         yield batch.select(kept).filter(yes)
 
-    schema = ", ".join(f"{c} {t}" for c, t in pairs.dtypes)
-    return map_arrow(both.select(*kept, "na", "nb", "siga", "sigb"), rows, schema)
+    schema = ", ".join(f"{c} {t}" for c, t in pairs.dtypes if c in kept)
+    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select(*kept, "na", "nb", "siga", "sigb"), rows, schema)
+
+
+def _edges(groups: list[np.ndarray], nodes: np.ndarray, own: list[bytes], percent: int, center: int | None = None, known: np.ndarray | None = None) -> pa.Table:
+    """(a, b): each node of some groups (row numbers) with its component's least node, where that is another one."""
+    out_a, out_b = [], []
+    for rows in groups:
+        at, first = np.unique(nodes[rows], return_index=True)
+        if len(at) > 1:
+            where = None if center is None else int(np.searchsorted(at, center))
+            roots, _ = links_within([np.frombuffer(own[k], np.uint64) for k in rows[first]], percent, where, None if known is None else known[rows[first]])
+            moved = at[roots] != at
+            out_a.append(at[moved])
+            out_b.append(at[roots][moved])
+    return _pairs(out_a, out_b)
+
+
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
+    none = [np.zeros(0, np.int64)]
+    return pa.table({"a": pa.array(np.concatenate(a or none), pa.int64()), "b": pa.array(np.concatenate(b or none), pa.int64())})
 
 
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): each member of a block (center, salt, node, own) and its component's least member."""
 
-    def join(group: pa.Table) -> pa.Table:
-        nodes = group.column("node").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
-        first: dict[int, int] = {}
-        for k, node in enumerate(nodes):
-            first.setdefault(node, k)
-        keep = list(first.values())
-        roots = SignatureJoin([sets[k] for k in keep], percent).roots()
-        own = [nodes[k] for k in keep]
-        least: dict[int, int] = {}
-        for node, r in zip(own, roots):
-            least[r] = min(node, least.get(r, node))
-        return pa.table({"a": pa.array(own, pa.int64()), "b": pa.array([least[r] for r in roots], pa.int64())})
-
-    return members.groupBy("center", "salt").applyInArrow(join, "a long, b long").where("a <> b")
+    def join(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        nodes = group.column("node").to_numpy()
+        return _edges([np.arange(len(nodes))], nodes, group.column("own").to_pylist(), percent, key[0].as_py())
+
+    return members.groupBy("center", "salt").applyInArrow(join, "a long, b long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -350,21 +393,125 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "owna", "ownb"), rows, "a long, b long")
 
 
+# ---- what stays open -------------------------------------------------------------------
+
+
+def _groups(table: pa.Table, keys: list[str], *then: np.ndarray) -> list[np.ndarray]:
+    """Row numbers of each group of equal keys, each group in the order of ``then``."""
+    cols = [table.column(k).to_numpy() for k in keys]
+    order = np.lexsort((*then[::-1], *cols[::-1]))
+    new = np.zeros(len(order), bool)
+    for c in cols:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    return np.split(order, np.flatnonzero(new))
+
+
+def _packed(df: DataFrame, keys: list[str], load: Column, most: int) -> DataFrame:
+    """``df`` with a column ``pack`` of whole groups by ``keys``, about ``most`` of ``load`` together."""
+    packs = df.agg(F.ceil(F.sum(load) / most).cast("int")).first()[0] or 1
+    return df.withColumn("pack", F.pmod(F.xxhash64(*keys), F.lit(packs)).cast("int"))
+
+
+def _dealt(members: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``members`` in meetings of chunks (one, two), each in its own ``chunk``; ``groups`` has the (m, total) of each key."""
+    parts = F.greatest(F.ceil(F.col("m") / CHUNK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    placed = members.join(groups.select(*keys, parts.alias("parts")), keys).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return placed.select(*members.columns, "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"))
+
+
+KEYS = ["token", "band", "one", "two"]
+
+
+def _meetings(left: DataFrame, percent: int) -> DataFrame:
+    """The open postings (token, node, reach, root, n) by KEYS: token, size band and two chunks.
+
+    Linked sets are in the same band of sizes or in adjacent ones, so a set stands in its own
+    band and, where it may be the smaller one, in the next.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent * (1 + 1e-9)))).cast("int")
+    bands = F.when(F.col("reach") >= F.col("n"), F.array(band, band + 1)).otherwise(F.array(band))
+    placed = left.select("token", F.explode(bands).alias("band"), "node", "reach", "root", "n")
+    least = F.min(F.when(F.col("reach") >= F.col("n"), F.col("n"))).alias("least")
+    of = placed.groupBy("token", "band").agg(
+        F.min("root").alias("x"), F.max("root").alias("y"), least, F.max("reach").alias("most"), F.sum("reach").alias("reaches"),
+        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("w"), F.sum(F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(1 << 31))).alias("v"), F.sum("n").alias("total"),
+    ).where("x <> y and least <= most")
+    # Of shingles with the same members, the first in the fixed order stands first in all of them: it reaches furthest.
+    of = of.groupBy("band", "m", "w", "v", "total").agg(F.max(F.struct("reaches", "token"))["token"].alias("token"))
+    return _dealt(placed, of, ["token", "band"])
+
+
+def _candidates(meetings: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that join, within each meeting, the sets that reaches and bitmaps allow to link."""
+
+    def walk(group: pa.Table) -> pa.Table:
+        n, node = group.column("n").to_numpy(), group.column("node").to_numpy()
+        root, reach, chunk, one, two = (group.column(c).to_numpy() for c in ("root", "reach", "chunk", "one", "two"))
+        sigs = group.column("sig").to_pylist()
+        out_a, out_b = [], []
+        for rows in _groups(group, KEYS, n, node):
+            if len(rows) > 1:
+                labels = np.arange(len(rows))
+                _, known = np.unique(root[rows], return_inverse=True)
+                own = chunk[rows] if one[rows[0]] != two[rows[0]] else labels
+                for i, j in SignatureTree(n[rows], _bitmaps([sigs[k] for k in rows]), known, percent).pairs():
+                    keep = (n[rows[j]] <= reach[rows[i]]) & (n[rows[i]] <= reach[rows[j]]) & (own[i] != own[j])
+                    i, j = i[keep], j[keep]
+                    while len(keep := labels[i] != labels[j]):
+                        i, j = i[keep], j[keep]
+                        if not len(i):
+                            break
+                        low, high = sorted((labels[i[0]], labels[j[0]]))
+                        labels[labels == high] = low
+                moved = np.flatnonzero(labels != np.arange(len(rows)))
+                out_a.append(node[rows[moved]])
+                out_b.append(node[rows[labels[moved]]])
+        return _pairs(out_a, out_b)
+
+    packed = _packed(meetings, KEYS, F.lit(1), CHUNK_MEMBERS).join(info.select("node", "sig"), "node")
+    return packed.groupBy("pack").applyInArrow(walk, "a long, b long")
+
+
+def _candidate_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that join the exact components within each candidate group (node, group, root, n)."""
+
+    def join(group: pa.Table) -> pa.Table:
+        of = _groups(group, ["group", "one", "two"])
+        return _edges(of, group.column("node").to_numpy(), group.column("own").to_pylist(), percent, known=group.column("root").to_numpy())
+
+    loads = groups.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    dealt = stored(_dealt(groups, loads, ["group"]))
+    return _packed(dealt, ["group", "one", "two"], F.col("n"), BLOCK_SHINGLES).join(sets, "node").groupBy("pack").applyInArrow(join, "a long, b long")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rooted(docs, doc_id, text, size, percent).drop("root", "text_hash")
+
+
+def rooted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The same with ``text_hash``, and ``root``, which tells components apart where ids do not (null: the empty set)."""
+    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(text).alias("text_hash"))
     every = stored(prepare(docs, size, percent))
-    nodes = every.where("n > 0").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    postings = nodes.select(F.explode("tokens").alias("token"), "node").repartition("token")
-    groups = postings.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
+    nodes = every.where("n > 0").groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("n").alias("n"))
+    # The smaller of two linked sets reaches its own size; the reach of those that do not is kept below 0.
+    reach = _reach(F.col("n"), F.col("p"), percent)
+    postings = nodes.select("node", "n", F.posexplode("tokens").alias("p", "token")).select("token", "node", F.when(reach >= F.col("n"), reach).otherwise(-reach).alias("reach")).repartition("token")
+    groups = postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("reach").alias("most")).where("low <> high and most > 0").select("token")
     shared = stored(postings.join(groups, "token"))
     # The more of its prefix a node shares, the more central it is: an original shares more than its edits.
     centrality = shared.groupBy("node").agg(F.count(F.lit(1)).alias("hits"))
     about = every.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("rep"))
     info = stored(about.join(centrality, "node").withColumn("central", F.col("hits") / (F.floor(F.col("n") / 4) + 1)))
-    scored = shared.join(info.select("node", "central"), "node")
-    centers = scored.groupBy("token").agg(F.max(F.struct("central", "node"))["node"].alias("b"))
-    near = shared.join(centers, "token").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("votes"))
+    # Larger ones must reach the least of these.
+    with_sizes = shared.withColumn("reach", F.abs("reach")).join(info.select("node", "n", "central"), "node")
+    least = with_sizes.where("reach >= n").groupBy("token").agg(F.min("n").alias("least"))
+    shared = stored(with_sizes.join(least, "token").where("reach >= least").drop("least"))
+    del with_sizes, least, nodes, postings, groups, centrality, about
+    tidy(docs.sparkSession)
+    centers = shared.groupBy("token").agg(F.max(F.struct("central", "node", "n")).alias("x")).select("token", F.col("x.node").alias("b"), F.col("x.n").alias("nb"))
+    near = shared.withColumnsRenamed({"node": "a", "n": "na"}).join(centers, "token").where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("votes"))
     pick = _prune(near, info, percent).groupBy("a").agg(F.max(F.struct("votes", "b"))["b"].alias("center"))
     pick = stored(pick.withColumnRenamed("a", "node"))
     # Blocks of bounded size; every block of a large cluster holds the center too.
@@ -375,39 +522,42 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     heads = salts.select("center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("center").alias("node"))
     placed = stored(plain.union(heads).join(sizes.select("node", "rep"), "node"))
     rows = placed.count()
-    members = _sets_of(docs, placed, rows, size).join(_sized(placed.select("node", "center", "salt"), rows), "node")
+    members = _sets_of(docs, placed, rows, size).join(sized(placed.select("node", "center", "salt"), rows), "node")
     first = stored(components(_blocks(members, percent)))
-    # What shares a prefix shingle, met in no block and is not joined yet.  First the most central
-    # member of each component is compared with the most central one of the shingle's group, which
-    # joins clusters of one large group of copies by few pairs; then every pair that is left.
-    of_node = info.select("node", "n", "central").join(plain.select("node", F.struct("center", "salt").alias("met")), "node", "left")
-    fits = F.least("na", "nb") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    apart = (F.col("roota") != F.col("rootb")) & ~F.coalesce(F.col("meta") == F.col("metb"), F.lit(False)) & fits
-    for exact in (False,) * CENTRAL_ROUNDS + (True,):
+
+    def open_postings(first: DataFrame) -> DataFrame:
         left = shared.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = left.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-        left = left.join(open_, "token", "left_semi").join(of_node, "node")
-        cols = ["node", "root", "met", "n"]
-        if exact:
-            side = lambda s, d: d.select("token", *[F.col(c).alias(s if c == "node" else c + s) for c in cols])
-            rest = side("a", left).join(side("b", left), "token").where(apart & (F.col("a") < F.col("b")))
-        else:
-            best = F.max(F.struct("central", *cols)).alias("x")
-            heads = left.groupBy("token", "root").agg(best)
-            top = heads.groupBy("token").agg(F.max("x").alias("y"))
-            pick = [F.col(f"{v}.{c}").alias(s if c == "node" else c + s) for v, s in (("x", "a"), ("y", "b")) for c in cols]
-            rest = heads.select("token", "x").join(top, "token").select(*pick).where(apart)
-        rest = stored(_prune(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), info, percent))
-        if rest.isEmpty():
-            continue
-        ends = stored(rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct().join(sizes.select("node", "rep"), "node"))
-        sets = _sets_of(docs, ends, ends.count(), size).dropDuplicates(["node"])
-        links = stored(_verify(rest, sets, percent))
+        still = left.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+        return stored(left.join(still, "token", "left_semi"))
+
+    def sets_for(ends: DataFrame) -> DataFrame:
+        ends = stored(ends.select("node").distinct().join(sizes.select("node", "rep"), "node"))
+        return _sets_of(docs, ends, ends.count(), size).dropDuplicates(["node"])
+
+    # The most central member of each component against the most central one of the shingle's group.
+    left = open_postings(first)
+    heads = left.groupBy("token", "root").agg(F.max(F.struct("central", "node", "root", "n")).alias("x"))
+    top = heads.groupBy("token").agg(F.max("x").alias("y"))
+    pairs = heads.select("token", "x").join(top, "token").where("x.root <> y.root")
+    pairs = pairs.select(F.least(F.struct("x.node", "x.n"), F.struct("y.node", "y.n")).alias("p"), F.greatest(F.struct("x.node", "x.n"), F.struct("y.node", "y.n")).alias("q"))
+    pairs = pairs.distinct().select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
+    pairs = stored(_prune(pairs, info, percent))
+    if not pairs.isEmpty():
+        links = stored(_verify(pairs, sets_for(pairs.select(F.explode(F.array("a", "b")).alias("node"))), percent))
+        if not links.isEmpty():
+            first = absorb(first, links)
+            left = open_postings(first)
+    tidy(docs.sparkSession)
+    maybe = stored(_candidates(stored(_meetings(left, percent)), info, percent))
+    if not maybe.isEmpty():
+        groups = stored(components(maybe).withColumnRenamed("root", "group"))
+        groups = groups.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sizes.select("node", "n"), "node")
+        links = stored(_candidate_links(stored(groups), sets_for(groups), percent))
         if not links.isEmpty():
             first = absorb(first, links)
-    whole = every.select("doc_id", "node", "n").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = every.select("doc_id", "node", "n", "text_hash").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
-    return whole.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return whole.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "root", "text_hash")
 
 
 def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Words are maximal runs of bytes other than space and ``\\x09``-``\\x0D``.  UTF-8
 never uses those bytes inside a longer sequence, so the scan works on the raw
-buffer: no Python string is made.  Every word, line and shingle gets a 64-bit
-hash from one running polynomial sum, so cost does not depend on word length.
+buffer: no Python string is made.  A span is hashed eight bytes at a time: each chunk
+goes through a 64-bit finaliser with a key of its place, and the mixed chunks are summed,
+so no algebra of the bytes survives and equal hashes mean equal spans but for chance.
 """
 
 from __future__ import annotations
@@ -15,14 +16,12 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(1, 9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,19 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        grown = np.full(size, base, np.uint64)
-        grown[0] = 1
-        np.cumprod(grown, out=grown)
-        if size > 8 * SLICE_BYTES:  # tables for one huge text are not kept
-            return grown
-        _powers[name] = have = grown
-    return have[:n]
-
-
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of ``texts`` with about ``most`` bytes each; a longer text stands alone."""
     off = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
@@ -74,16 +60,26 @@ class Scan:
     start: np.ndarray
     end: np.ndarray
     doc: np.ndarray
-    sums: np.ndarray
-    unpower: np.ndarray
+    lower: bool
 
     @property
     def rows(self) -> int:
         return len(self.offsets) - 1
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of each byte span; equal spans of any two scans hash alike."""
-        return mix((self.sums[end] - self.sums[start]) * self.unpower[start] + (end - start).astype(np.uint64))
+        """Hash of each byte span that is not empty; equal spans of any two scans hash alike."""
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        padded = np.zeros(len(self.raw) + 8, np.uint8)
+        padded[:-8] = _LOWER[self.raw] if self.lower else self.raw
+        eights = np.ndarray(len(self.raw) + 1, np.dtype("<u8"), padded, strides=(1,))
+        size = end - start
+        chunks = (size + 7) >> 3
+        first = np.cumsum(chunks) - chunks
+        place = np.arange(first[-1] + chunks[-1]) - np.repeat(first, chunks)
+        value = eights[np.repeat(start, chunks) + 8 * place] & _MASK[np.minimum(np.repeat(size, chunks) - 8 * place, 8) - 1]
+        sums = np.add.reduceat(mix(value ^ mix((place + 1).astype(np.uint64) * _GOLDEN)), first)
+        return mix(sums + size.astype(np.uint64) * _GOLDEN)
 
     def word_hash(self) -> np.ndarray:
         return self.span_hash(self.start, self.end)
@@ -110,9 +106,7 @@ def scan(texts: pa.Array, lower: bool = False) -> Scan:
     before[off[:-1][off[:-1] < n]] = False
     after[off[1:][off[1:] > 0] - 1] = False
     start, end = np.flatnonzero(full & ~before), np.flatnonzero(full & ~after) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[raw] * _power("up", _P, n), out=sums[1:])
-    return Scan(raw, off, start, end, np.searchsorted(off, start, "right") - 1, sums, _power("down", _P_INV, n + 1))
+    return Scan(raw, off, start, end, np.searchsorted(off, start, "right") - 1, lower)
 
 
 def shingles(words: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
