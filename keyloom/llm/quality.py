@@ -3,12 +3,13 @@
 Every document gets exact word, symbol and repetition counts.  Rule failures are
 summed by host, each host's failure rate is shrunk towards the corpus by a beta
 prior that is fitted to the hosts themselves (method of moments), and hosts whose
-shrunk rate is too high lose all their documents.
+shrunk rate lies far above that prior lose all their documents.
 
-Edge cases: null or empty text has no words and fails the word-count rule; a null
-host is a host of its own; no documents give no rows; with a single host, or hosts
-that agree exactly, the prior is the weakest allowed one.  Repeated rows count each
-time they occur.
+Edge cases: null or empty text has no words and fails the word-count rule; a text of
+any length is counted whole, by word and line hashes of 64 bits; a null host is a host
+of its own; an empty table gives no rows; with a single host, or hosts that agree
+exactly, the prior is the strongest allowed one.  Repeated rows count each time they
+occur.  Columns besides id, host and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from .frames import map_arrow, stored, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-REJECT_RATE = 0.5
+#: A host goes when its shrunk rate is OUTLIER standard deviations of the fitted prior above its mean;
+#: a rate below LEAST_REJECT never costs a host, one of MOST_REJECT always does.
+OUTLIER, LEAST_REJECT, MOST_REJECT = 3.0, 0.2, 0.5
 LEAST_PRIOR, MOST_PRIOR = 2.0, 1000.0
 
 _SYMBOL = np.zeros(256, bool)
@@ -84,12 +87,13 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def host_verdicts(measured: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
+def host_verdicts(measured: DataFrame) -> DataFrame:
     """One row per host: documents, failures, shrunk failure rate and verdict.
 
     The prior's mean and strength come from the hosts' own means and variances; the
     strength is held between two documented bounds, so a host of a few documents is
-    judged mostly by the corpus and a large one by itself.
+    judged mostly by the corpus and a large one by itself.  The rate that a host may not
+    reach follows the prior: its mean and OUTLIER of its standard deviations.
     """
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
@@ -103,11 +107,13 @@ def host_verdicts(measured: DataFrame, reject_rate: float = REJECT_RATE) -> Data
     strength = F.when(between > 0, spread / between - 1).otherwise(MOST_PRIOR)
     strength = F.least(F.lit(MOST_PRIOR), F.greatest(F.lit(LEAST_PRIOR), strength))
     prior = prior.select(F.lit(1).alias("one"), F.col("mean"), strength.alias("strength"))
+    far = F.col("mean") + OUTLIER * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
+    limit = F.least(F.lit(MOST_REJECT), F.greatest(F.lit(LEAST_REJECT), far))
     shrunk = (F.col("n_failed") + F.col("mean") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
     return (
         hosts.withColumn("one", F.lit(1))
         .join(F.broadcast(prior), "one")  # the prior is one row
-        .select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk < reject_rate).alias("host_kept"))
+        .select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk < limit).alias("host_kept"))
     )
 
 
@@ -122,14 +128,22 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
     )
 
 
+COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return apply_rules(table(spark, sf_dir, "documents")).select(*cols)
+    return apply_rules(table(spark, sf_dir, "documents")).select(*COLUMNS)
+
+
+def host_rules_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where hosts differ: a document's host is its source and the number of digits of its length."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws(":", "source", F.length(F.length("text").cast("string")).cast("string")).alias("host"))
+    return apply_rules(docs, host="host").select(*COLUMNS)
 
 
-SQL = r"""
+_SQL = r"""
 WITH words AS (
-  SELECT doc_id, source, coalesce(text, '') AS text,
+  SELECT doc_id, {host} AS source, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 lines AS (
   SELECT doc_id, sum(c - 1)::BIGINT AS n_dup_lines FROM (
@@ -153,8 +167,10 @@ h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY s
 p AS (SELECT sum(f) / sum(n) AS mean, coalesce(var_samp(f / n), 0) AS v, avg(1 / n) AS inv FROM h),
 q AS (SELECT mean, least(1000.0, greatest(2.0, CASE WHEN v - mean * (1 - mean) * inv > 0
         THEN mean * (1 - mean) / (v - mean * (1 - mean) * inv) - 1 ELSE 1000.0 END)) AS k FROM p),
-k AS (SELECT source, (f + mean * k) / (n + k) < 0.5 AS ok FROM h, q)
+k AS (SELECT source, (f + mean * k) / (n + k) < least(0.5, greatest(0.2, mean + 3.0 * sqrt(mean * (1 - mean) / (k + 1)))) AS ok FROM h, q)
 SELECT doc_id, n_words, coalesce(wc, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND ok AS kept
 FROM b JOIN k ON b.source IS NOT DISTINCT FROM k.source
 """
+SQL = _SQL.replace("{host}", "source")
+SQL_BY_LENGTH = _SQL.replace("{host}", "concat_ws(':', source, length(length(text)::VARCHAR)::VARCHAR)")
