@@ -5,10 +5,12 @@ prefix of turns (equal role and text) is rendered once, as the prompt; what is l
 each conversation is its completion, with the code-point spans of assistant turns as its
 training mask.  Only DataFrame functions are used, and turns are shuffled once, by pair.
 
-Edge cases: null role or text counts as empty; turns that share a number are ordered by
-role, then text; rows without a pair, side or turn number are left out; a pair that lacks
-one side has an empty prompt and an empty completion on that side; equal conversations
-give a prompt and two empty completions; an empty table gives no rows.
+Edge cases: null role or text counts as empty; a row that repeats another one exactly is
+the same turn, not one more; other turns that share a number are ordered by role, then
+text; rows without a pair, side or turn number are left out; a pair that lacks one side
+has an empty prompt and an empty completion on that side; equal conversations give a
+prompt and two empty completions; a text of any length is rendered whole; columns besides
+the named ones, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,12 +54,16 @@ def _mask(turns: Column, t: Template) -> Column:
     return F.aggregate(turns, start, step, lambda s: s["spans"])
 
 
-def format_pairs(turns: DataFrame, template: Template = Template()) -> DataFrame:
-    """One row per pair from (pair, side, turn, role, text), side ``chosen`` or ``rejected``."""
-    clean = turns.where("pair is not null and turn is not null and side in ('chosen', 'rejected')").select(
-        "pair", "side", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("x")
-    )
-    sides = clean.groupBy("pair").agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("x")))).alias(s) for s in ("chosen", "rejected")])
+def _turn() -> Column:
+    return F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _ordered(turns: Column) -> Column:
+    return F.array_distinct(F.sort_array(turns))
+
+
+def format_sides(sides: DataFrame, template: Template = Template()) -> DataFrame:
+    """One row per pair from (pair, chosen, rejected), arrays of (turn, role, text) in order."""
     same = F.zip_with("chosen", "rejected", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
     common = F.coalesce(F.array_position(same, False) - 1, F.lit(0).cast("long"))
     common = F.when(common < 0, F.size(same)).otherwise(common).cast("int")
@@ -70,23 +76,52 @@ def format_pairs(turns: DataFrame, template: Template = Template()) -> DataFrame
     )
 
 
-def pair_neighbours(conversations: DataFrame) -> DataFrame:
-    """Conversations 2i (chosen) and 2i + 1 (rejected) as pair i."""
-    odd = F.pmod(F.col("conv_id"), F.lit(2)) == 1
-    return conversations.select(F.floor(F.col("conv_id") / 2).alias("pair"), F.when(odd, "rejected").otherwise("chosen").alias("side"), "turn", "role", "text").where("pair is not null")
+def format_pairs(turns: DataFrame, template: Template = Template()) -> DataFrame:
+    """One row per pair from (pair, side, turn, role, text), side ``chosen`` or ``rejected``."""
+    clean = turns.where("pair is not null and turn is not null and side in ('chosen', 'rejected')").select("pair", "side", _turn().alias("x"))
+    sides = clean.groupBy("pair").agg(*[_ordered(F.collect_list(F.when(F.col("side") == s, F.col("x")))).alias(s) for s in ("chosen", "rejected")])
+    return format_sides(sides, template)
+
+
+def answered_otherwise(conversations: DataFrame) -> DataFrame:
+    """(pair, chosen, rejected): each conversation, and the same with another last answer.
+
+    Conversations 2i and 2i + 1 lend each other the text of their last assistant turn
+    (empty where the neighbour has none), so a pair shares all turns before its answer.
+    """
+    known = conversations.where("conv_id is not null and turn is not null")
+    couple = known.groupBy(F.floor(F.col("conv_id") / 2).alias("couple")).agg(
+        *[_ordered(F.collect_list(F.when(F.pmod("conv_id", F.lit(2)) == k, _turn()))).alias(f"s{k}") for k in (0, 1)]
+    )
+    spoken = lambda turns: F.filter(turns, lambda x: x["role"] == "assistant")
+    answer = lambda turns: F.coalesce(F.try_element_at(spoken(turns), F.lit(-1))["text"], F.lit(""))
+
+    def other(own: Column, text: Column) -> Column:
+        last = F.try_element_at(spoken(own), F.lit(-1))
+        return F.transform(own, lambda x: F.when(x == last, F.struct(x["turn"].alias("turn"), x["role"].alias("role"), text.alias("text"))).otherwise(x))
+
+    one = lambda k: F.struct(
+        (2 * F.col("couple") + k).alias("pair"), F.col(f"s{k}").alias("chosen"), other(F.col(f"s{k}"), answer(F.col(f"s{1 - k}"))).alias("rejected")
+    )
+    return couple.select(F.inline(F.array(one(0), one(1)))).where(F.size("chosen") > 0)
 
 
 def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = format_pairs(pair_neighbours(table(spark, sf_dir, "conversations")))
+    made = format_sides(answered_otherwise(table(spark, sf_dir, "conversations")))
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
     return made.select(F.col("pair").alias("pair_id"), F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen", "rejected", listed("chosen_mask"), listed("rejected_mask"))
 
 
 SQL = r"""
-WITH t AS (
-  SELECT conv_id // 2 AS pair, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS k
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+WITH u AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM (
+    SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+a AS (SELECT conv_id, max(k) AS k, arg_max(text, k) AS answer FROM u WHERE role = 'assistant' GROUP BY conv_id),
+t AS (
+  SELECT conv_id AS pair, 0 AS side, role, text, k FROM u
+  UNION ALL
+  SELECT u.conv_id, 1, role, CASE WHEN u.k = a.k THEN coalesce(o.answer, '') ELSE text END, u.k
+  FROM u LEFT JOIN a ON a.conv_id = u.conv_id LEFT JOIN a o ON o.conv_id = xor(u.conv_id, 1)),
 n AS (SELECT pair, max(k) FILTER (WHERE side = 0) AS a, max(k) FILTER (WHERE side = 1) AS b FROM t GROUP BY pair),
 d AS (
   SELECT x.pair, min(x.k) AS k FROM t x JOIN t y ON x.pair = y.pair AND x.k = y.k AND x.side = 0 AND y.side = 1
