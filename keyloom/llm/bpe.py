@@ -11,7 +11,9 @@ Blocks, not the whole table, are the corpus of one replay: joining a table-wide
 vocabulary back to every occurrence would shuffle more bytes than the text has.
 
 Edge cases: null text encodes as empty text, which has no tokens and decodes to empty
-bytes; ids without a token raise on decoding; repeated rows are encoded alike.
+bytes; a text of any length is encoded whole; ids without a token raise on decoding;
+repeated rows are encoded alike; added columns get names that ``docs`` does not have; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 import base64
 import gc
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -157,26 +159,9 @@ class Replay:
         _forget(known, fresh)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text of one block.
-
-        No pre-token holds white space after other characters, so a text can be cut
-        wherever white space begins, and equal chunks are split and looked up once.
-        Where no space has other white space beside it, that is a plain split at spaces.
-        """
+        """Ids of each text of one block."""
         spaced, exact = self.spaced, self.exact
-        parts, new_spaced, new_exact = [], {}, {}
-        for t in texts:
-            first, *rest = t.split(" ")
-            head = [first] if first else []
-            found = list(map(spaced.get, rest))
-            missing = [k for k, x in enumerate(found) if x is None] if None in found else []
-            new = [rest[k] for k in missing]
-            if (new and any(not c or c[0].isspace() or c[-1].isspace() for c in new)) or (rest and first[-1:].isspace()):
-                head, rest, found, missing = _CHUNK.findall(t), [], [], []
-            else:
-                new_spaced.update((c, " " + c) for c in new)
-            new_exact.update((c, c) for c in head if c not in exact)
-            parts.append((head, rest, found, missing))
+        parts, new_spaced, new_exact = _chunks(texts, spaced, exact)
         self._split(new_spaced, spaced)
         self._split(new_exact, exact)
         out = []
@@ -189,7 +174,62 @@ class Replay:
         return out
 
 
-def _forget(memo: dict[str, bytes], new: Iterable[str]) -> None:
+def _chunks(texts: list[str], spaced: dict, exact: dict) -> tuple[list, dict[str, str], dict[str, str]]:
+    """Each text in chunks (head, rest, what ``spaced`` has of rest, places it lacks), and the chunks in neither memo.
+
+    No pre-token holds white space after other characters, so a text can be cut
+    wherever white space begins, and equal chunks are split and looked up once.
+    Where no space has other white space beside it, that is a plain split at spaces.
+    """
+    parts, new_spaced, new_exact = [], {}, {}
+    for t in texts:
+        first, *rest = t.split(" ")
+        head = [first] if first else []
+        found = list(map(spaced.get, rest))
+        missing = [k for k, x in enumerate(found) if x is None] if None in found else []
+        new = [rest[k] for k in missing]
+        if (new and any(not c or c[0].isspace() or c[-1].isspace() for c in new)) or (rest and first[-1:].isspace()):
+            head, rest, found, missing = _CHUNK.findall(t), [], [], []
+        else:
+            new_spaced.update((c, " " + c) for c in new)
+        new_exact.update((c, c) for c in head if c not in exact)
+        parts.append((head, rest, found, missing))
+    return parts, new_spaced, new_exact
+
+
+class Counts:
+    """Token counts under several vocabularies at once: a chunk's counts are one number, 32 bits for each."""
+
+    def __init__(self, replays: list[Replay]):
+        self.replays = replays
+        self.spaced: dict[str, int] = {}
+        self.exact: dict[str, int] = {}
+
+    def _add(self, chunks: dict[str, str], seen: dict[str, int]) -> None:
+        seen.update(dict.fromkeys(chunks, 0))
+        for v, replay in enumerate(self.replays):
+            ids: dict[str, bytes] = {}
+            replay._split(chunks, ids)
+            for key, x in ids.items():
+                seen[key] |= len(x) // 4 << 32 * v
+
+    def count(self, texts: list[str]) -> list[list[int]]:
+        spaced, exact = self.spaced, self.exact
+        parts, new_spaced, new_exact = _chunks(texts, spaced, exact)
+        self._add(new_spaced, spaced)
+        self._add(new_exact, exact)
+        out = []
+        for head, rest, found, missing in parts:
+            for k in missing:
+                found[k] = spaced[rest[k]]
+            total = sum(found) + sum(map(exact.__getitem__, head))
+            out.append([total >> 32 * v & 0xFFFFFFFF for v in range(len(self.replays))])
+        _forget(spaced, new_spaced)
+        _forget(exact, new_exact)
+        return out
+
+
+def _forget(memo: dict, new: Iterable[str]) -> None:
     """Keep a memo within its bounds: the newest entries go, and long ones.  Nothing but speed depends on it."""
     full = len(memo) > MEMO_WORDS
     for w in new:
@@ -265,6 +305,32 @@ def encode(
     return map_arrow(docs, rows, f"{_fields(docs)}, `{out}` array<int>" + (f", `{back}` binary" if back else ""))
 
 
+_counts: dict[int, Counts] = {}
+
+
+def count(docs: DataFrame, vocabularies: Sequence[str], text: str = "text", out: str = "counts", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``docs`` with an array of token counts, one for each rank file (null text: 0).
+
+    ``vocabularies`` are paths on the driver.  No ids are kept, so a text costs one look-up
+    a word for all vocabularies together.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(([load_ranks(p) for p in vocabularies], pattern))
+    name = free_name(docs, out)
+
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ranks, pattern = shared.value
+        if id(ranks) not in _counts:
+            _counts.clear()
+            _counts[id(ranks)] = Counts([Replay(r, pattern) for r in ranks])
+        texts = W.column(batch, text)
+        gc.disable()  # nothing here makes cycles, and the memo is large
+        for a, b in W.slices(texts, BLOCK_BYTES):
+            found = _counts[id(ranks)].count(texts.slice(a, b - a).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, name])
+
+    return map_arrow(docs, rows, f"{_fields(docs)}, `{name}` array<bigint>")
+
+
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """``encoded`` with a binary column of the bytes that its ids stand for (null ids: null)."""
     shared = _shared(encoded, path, public_tokenizers.PATTERN)

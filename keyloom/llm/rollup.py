@@ -11,20 +11,27 @@ cut off by a lost driver is overwritten.  ``compact`` folds marked batches into
 snapshot that names them.
 
 Edge cases: null source, language or tokenizer is a group of its own; null counts count 0;
-groups whose totals return to nothing are left out of the result; a batch without rows
-commits; repeated rows in a batch count each time; unknown operations raise.
+groups whose totals return to nothing are left out of the result; a batch without rows,
+or of an empty table, commits; repeated rows in a batch count each time; unknown operations
+raise; columns of a batch besides its own six are not read.  Counts are longs, so texts of
+any length add up.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import shared_folder, table
+from . import bpe
+from .frames import shared_folder, stored, table
 from .mixing import WORD
 
+#: Tokenizer versions that are counted: name and rank file.
+TOKENIZERS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
+
 GROUP = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
@@ -94,20 +101,11 @@ class Rollup:
         self._fs.create(self._file("snapshots", name, "_SUCCESS"), True).close()
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """Counts of each document under two tokenizer versions, and a revised count of the first."""
-    words = F.regexp_count("text", F.lit(WORD))
-    letters = F.regexp_count("text", F.lit(r"[A-Za-z]+"))
-    versions = F.array(
-        F.struct(F.lit("words/1").alias("tokenizer"), words.alias("tokens"), F.when(F.col("doc_id") % 10 == 7, letters).alias("revised")),
-        F.struct(F.lit("bytes/1").alias("tokenizer"), F.octet_length("text").alias("tokens"), F.octet_length("text").alias("revised")),
-    )
-    return docs.select("doc_id", "source", "lang", F.inline(versions))
-
+def _maintained(spark: SparkSession, counted: DataFrame) -> DataFrame:
+    """All documents inserted; then every tenth deleted and every tenth counted anew, a batch that is sent twice.
 
-def op9_rollup_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted; then every tenth deleted and every tenth counted anew, a batch that is sent twice."""
-    counted = _counted(table(spark, sf_dir, "documents"))
+    ``counted`` has (doc_id, source, lang, tokenizer, tokens, revised).
+    """
     store = Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
     store.commit("0", counted.select(F.lit("insert").alias("op"), *GROUP, "tokens", F.lit(None).cast("long").alias("old_tokens")))
     gone, new = F.col("doc_id") % 10 == 3, F.col("doc_id") % 10 == 7
@@ -117,6 +115,28 @@ def op9_rollup_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def token_counts(docs: DataFrame) -> DataFrame:
+    """Tokens of each document under each of TOKENIZERS, and of every tenth with its white space made single spaces."""
+    paths = [public_tokenizers.path(f) for f in TOKENIZERS.values()]
+    plain = docs.select("doc_id", "source", "lang", "text", F.when(F.col("doc_id") % 10 == 7, F.regexp_replace("text", r"\s+", " ")).alias("cleaned"))
+    both = bpe.count(bpe.count(plain, paths, out="now"), paths, text="cleaned", out="later").drop("text", "cleaned")
+    each = lambda k, name: F.struct(F.lit(name).alias("tokenizer"), F.col("now")[k].alias("tokens"), F.col("later")[k].alias("revised"))
+    return both.select("doc_id", "source", "lang", F.inline(F.array(*[each(k, n) for k, n in enumerate(TOKENIZERS)])))
+
+
+def op9_rollup_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _maintained(spark, stored(token_counts(table(spark, sf_dir, "documents"))))
+
+
+def rollup_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same store over counts that SQL can repeat: words (revised: runs of letters) and bytes."""
+    words, letters = F.regexp_count("text", F.lit(WORD)), F.regexp_count("text", F.lit(r"[A-Za-z]+"))
+    of = lambda name, tokens, revised: F.struct(F.lit(name).alias("tokenizer"), tokens.alias("tokens"), revised.alias("revised"))
+    size: Column = F.octet_length("text")
+    versions = F.array(of("words/1", words, F.when(F.col("doc_id") % 10 == 7, letters)), of("bytes/1", size, size))
+    return _maintained(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.inline(versions)))
+
+
 SQL = r"""
 WITH c AS (
   SELECT doc_id, source, lang, t.tokenizer, t.tokens, t.revised FROM (
