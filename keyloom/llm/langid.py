@@ -7,10 +7,14 @@ languages from the units' likelihoods; the set starts with the best single langu
 and grows while the penalised likelihood (BIC) improves.  The prediction is the
 language with the largest share, and its score is that share.
 
+Every language whose greatest possible gain exceeds the penalty is tried at each step.
+
 Edge cases: null text and text without a letter are ``und`` with score 0; words
 without letters are no evidence; equal shares go to the language that sorts first;
 without training documents everything is ``und``.  Training rows with a null label or
-null text are skipped, and repeated rows count each time.
+null text are skipped, and repeated rows count each time.  A text of any length is read
+whole.  Columns that ``docs`` has keep their names, and those added get longer ones; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -144,7 +148,7 @@ def infer(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndar
             chosen = np.where(active[dense] > 0, table, -np.inf).max(1)
             gain = np.add.reduceat(np.maximum(table - chosen[:, None], 0), starts, axis=0)
             gain[active > 0] = 0
-            trials = np.argsort(-gain, axis=1)[:, : min(3, k)]
+            trials = np.argsort(-gain, axis=1, kind="stable")
             top, top_share, top_set = best.copy(), share.copy(), active.copy()
             for t in range(trials.shape[1]):
                 cand = trials[:, t]
