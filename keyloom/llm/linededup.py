@@ -9,15 +9,21 @@ a word stay.  The remaining lines of a text are joined again.
 2. A class is cut into K + 1 segments; a line within distance K holds one of them
    unchanged.  Its substrings at the places that its length allows (the multi-match-aware
    choice) are probed against the index of (length, segment number, segment).
-3. Each line is first compared with the earliest line it meets under a key, then - only
-   where that fails - with the other earlier ones whose letter counts allow it, so one
-   popular segment is no quadratic group while its lines are copies of one.
-4. Pairs are verified exactly: common ends are stripped by bisection, and a banded
+3. Each line is first compared with the earliest line it meets under a key, so one popular
+   segment is no quadratic group while its lines are copies of one.
+4. Only lines that are left meet the other earlier ones of their keys.  Under a key of many
+   lines they meet by a second key: what stands beside the matched segment has few edits
+   too, so it is cut again and must share a piece.  Counts of hashed code points, which K
+   edits can change by 2 K at most, decide within the join which pairs become rows.
+5. Pairs are verified exactly: common ends are stripped by bisection, and a banded
    bit-parallel recurrence (one machine word for the whole band) runs over what is left.
 
-Edge cases: null text has no lines and stays null; empty text stays empty; rows that
-repeat an id are copies of one document and are treated alike; a null id stands first;
-an empty table gives no rows.
+Edge cases: null text has no lines and stays null; empty text stays empty; lines and texts
+of any length are compared whole; rows that repeat id and text are copies of one document
+and are treated alike; rows that repeat an id with another text, and documents without an
+id, are separate documents, ordered among themselves by a hash of the text; a null id
+stands first; the added count column gets a name that ``docs`` does not have, and other
+columns are carried along whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +37,11 @@ MIN_CHARS = 40
 #: Below this, K edits make one word of another ("Was.", "Es."), so only equal lines are repeats.
 LEAST_EDITED = 10
 K = 2
-MOST_BROADCAST = 1_000_000
+#: Tables of so many bytes at most, by their counted rows, are broadcast; larger ones are shuffled.
+MOST_BROADCAST = 48 << 20
+PLACE_BYTES = 48
+#: Under a key with more lines than this, lines that are left meet by a second key.
+PLAIN_KEY = 50
 
 
 # ---- edit distance ---------------------------------------------------------------------
@@ -117,87 +127,154 @@ def within(a: Column, b: Column, k: int = K) -> Column:
 # ---- segments --------------------------------------------------------------------------
 
 
-def segment_keys(line: Column, n: Column, k: int) -> tuple[list[Column], list[Column]]:
-    """Hashes under which a line of n code points is indexed, and those under which it only probes.
+def _segment(i: Column | int, length: Column, k: int) -> tuple[Column, Column]:
+    """Place (from 1) and size of segment i of k + 1: the last ones have one code point more."""
+    i = i if isinstance(i, Column) else F.lit(i)
+    base, longer = F.floor(length / (k + 1)).cast("int"), F.pmod(length, F.lit(k + 1)).cast("int")
+    extra = F.greatest(i - 1 - (k + 1 - longer), F.lit(0))
+    return base * (i - 1) + extra + 1, base + F.when(i > k + 1 - longer, 1).otherwise(0)
+
+
+def _shifts(i: int, delta: int, k: int) -> range:
+    """Where a text that is ``delta`` longer may hold segment i, relative to its place (the multi-match-aware choice)."""
+    return range(max(-(i - 1), delta - (k + 1 - i)), min(i - 1, delta + (k + 1 - i)) + 1)
+
+
+def _spots(k: int) -> list[tuple[int, int, int]]:
+    """(segment, delta, shift) of every key of a line; the k + 1 under which it is indexed stand first.
 
     A probe of its own length at a segment's own place is the index entry itself.
     """
-    index, probe = [], []
-    for delta in range(k + 1):
-        length = n - delta
-        base, longer = F.floor(length / (k + 1)).cast("int"), F.pmod(length, F.lit(k + 1)).cast("int")
-        for i in range(1, k + 2):  # the last ``longer`` segments have one code point more
-            extra = F.greatest(F.lit(i - 1) - (k + 1 - longer), F.lit(0))
-            at = base * (i - 1) + extra + 1
-            size = base + F.when(F.lit(i) > k + 1 - longer, 1).otherwise(0)
-            for shift in range(max(-(i - 1), delta - (k + 1 - i)), min(i - 1, delta + (k + 1 - i)) + 1):
-                key = F.xxhash64(F.lit(i), length, F.substring(line, at + shift, size))
-                (index if delta == 0 and shift == 0 else probe).append(key)
-    return index, probe
+    every = [(i, delta, shift) for delta in range(k + 1) for i in range(1, k + 2) for shift in _shifts(i, delta, k)]
+    return sorted(every, key=lambda x: x[1:] != (0, 0))
+
+
+def segment_keys(line: Column, n: Column, k: int) -> list[Column]:
+    """Hashes of a line of n code points, one for each of ``_spots``."""
+    keys = []
+    for i, delta, shift in _spots(k):
+        at, size = _segment(i, n - delta, k)
+        keys.append(F.xxhash64(F.lit(i), n - delta, F.substring(line, at + shift, size)))
+    return keys
+
+
+def _pieces(text: Column, delta: Column, k: int) -> Column:
+    """Structs (hash, entry) of the pieces of a text that is ``delta`` longer than what it is compared with."""
+
+    def piece(j: int) -> Column:
+        length = F.char_length(text) - delta
+        at, size = _segment(j, length, k)
+        low, high = F.greatest(F.lit(1 - j), delta - (k + 1 - j)), F.least(F.lit(j - 1), delta + (k + 1 - j))
+        shifts = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+        return F.transform(shifts, lambda s: F.struct(F.xxhash64(F.lit(j), length, F.substring(text, at + s, size)).alias("hash"), (s == 0).alias("entry")))
+
+    return F.flatten(F.array(*[piece(j) for j in range(1, k + 2)]))
+
+
+def second_keys(line: Column, n: Column, spot: Column, k: int) -> Column:
+    """Of a line under one of its keys: structs of a second key and whether it is an index entry.
+
+    Lines within k that meet at segment i differ by i - 1 edits at most before it, and by
+    k + 1 - i after it.  Where both sides have edits, both must share a piece.
+    """
+    segment, delta, shift = (F.element_at(F.array(*[F.lit(x[c]) for x in _spots(k)]), spot + 1) for c in range(3))
+    place, size = _segment(segment, n - delta, k)
+    before, after = F.substring(line, F.lit(1), place + shift - 1), F.substring(line, place + shift + size, n)
+    nothing = F.array(F.struct(F.lit(0).cast("long").alias("hash"), F.lit(True).alias("entry")))
+
+    def both(i: int) -> Column:
+        left = _pieces(before, shift, i - 1) if i > 1 else nothing
+        right = _pieces(after, delta - shift, k + 1 - i) if i < k + 1 else nothing
+        pair = lambda x, y: F.struct(F.xxhash64(x["hash"], y["hash"]).alias("second"), (x["entry"] & y["entry"] & (spot <= k)).alias("entry"))
+        return F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: pair(x, y))))
+
+    found = F.when(segment == 1, both(1))
+    for i in range(2, k + 2):
+        found = found.when(segment == i, both(i))
+    return found
+
 
+COUNT_CELLS = 16
 
-# Fixed value: letters whose counts tell lines apart; any set is right.
-LETTERS = "etaoinshrdlucmfpg"
 
+def code_counts(line: Column) -> Column:
+    """How many code points of a line fall into each of COUNT_CELLS cells of their hash."""
+    cells = F.transform(F.split(line, ""), lambda c: F.pmod(F.xxhash64(c), F.lit(COUNT_CELLS)).cast("int"))
+    return _let(cells, lambda x: F.transform(F.sequence(F.lit(0), F.lit(COUNT_CELLS - 1)), lambda j: F.size(F.filter(x, lambda c: c == j))))
 
-def letter_counts(line: Column) -> Column:
-    """How often each of LETTERS stands in a line."""
-    n = F.char_length(line)
-    return F.array(*[n - F.char_length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS])
+
+# ---- documents and lines ---------------------------------------------------------------
+
+
+def _placed(docs: DataFrame, doc_id: str, text: str, base: str) -> DataFrame:
+    """``docs`` with the place of each text's first line: 0, but apart for texts that share an id or have none."""
+    ident, hashed = F.col(f"`{doc_id}`"), F.xxhash64(text)
+    own, apart = free_name(docs, "dedup_same_id"), F.shiftleft(F.shiftrightunsigned(hashed, 25), 23)
+    texts = docs.where(ident.isNotNull()).select(ident.alias(own), hashed.alias("h")).distinct()
+    many = stored(texts.groupBy(own).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(own))
+    many = _few(many, many.count())
+    return docs.join(many, ident == F.col(own), "left").withColumn(base, F.when(ident.isNull() | F.col(own).isNotNull(), apart).otherwise(F.lit(0).cast("long"))).drop(own)
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    every = docs.select("d", F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
+    every = docs.select("d", "base", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("d", (F.col("base") + F.col("i")).alias("p"), "line")
     return every.withColumn("n", F.char_length("line")).where(F.col("n") >= min_chars)
 
 
-def _few(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+def _few(df: DataFrame, rows: int, row_bytes: int = PLACE_BYTES) -> DataFrame:
+    return F.broadcast(df) if rows * row_bytes <= MOST_BROADCAST else df
+
+
+def _of_places(docs: DataFrame, places: DataFrame, min_chars: int) -> DataFrame:
+    """(at, line, n) of the lines at some places (at)."""
+    places = stored(places.select("at").distinct())
+    found = _lines(docs, min_chars).select(F.struct("d", "p").alias("at"), "line", "n")
+    return found.join(_few(places, places.count()), "at", "left_semi").dropDuplicates(["at"])
 
 
 def _matches(pairs: DataFrame, docs: DataFrame, min_chars: int, k: int) -> DataFrame:
     """The pairs (later, earlier) of line places whose lines are within k."""
     pairs = stored(pairs.select("later", "earlier").distinct())
-    wanted = stored(pairs.select(F.col("later").alias("at")).union(pairs.select("earlier")).distinct())
-    found = _lines(docs, min_chars).select(F.struct("d", "p").alias("at"), "line")
-    found = stored(found.join(_few(wanted, wanted.count()), "at", "left_semi").dropDuplicates(["at"]))
+    found = stored(_of_places(docs, pairs.select(F.explode(F.array("later", "earlier")).alias("at")), min_chars).select("at", "line"))
     side = lambda s: found.select(F.col("at").alias(s), F.col("line").alias(f"line_{s}"))
     both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
     return both.where(within(F.col("line_later"), F.col("line_earlier"), k)).select("later", "earlier")
 
 
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, k: int = K, short: bool = False) -> DataFrame:
-    """(d, p) of every line of docs (d, text) that goes."""
+    """(d, p) of every line of docs (d, base, text) that goes."""
     if min_chars < k + 1:
         raise ValueError("min_chars must be above k")
     lines = _lines(docs, 1 if short else min_chars)
-    index, probe = segment_keys(F.col("line"), F.col("n"), k)
-    keys = F.array(*index, *probe)
+    keys = F.array(*segment_keys(F.col("line"), F.col("n"), k))
     if short:  # a short line has no keys: only its equals are in its class
         lines = lines.where((F.col("n") >= min_chars) | F.col("line").rlike(r"[^\x20\x09-\x0D]"))
         keys = F.when(F.col("n") >= min_chars, keys).otherwise(F.array().cast("array<bigint>"))
     hashed = lines.select("d", "p", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(k), "line").alias("g"), keys.alias("keys"))
     classes = stored(hashed.groupBy("h", "g").agg(F.min(F.struct("d", "p")).alias("at"), F.first("keys").alias("keys")))
-    met = classes.select("at", F.posexplode("keys").alias("i", "key")).select("key", "at", (F.col("i") >= len(index)).alias("probe")).repartition("key")
+    met = classes.select("at", F.posexplode("keys").alias("spot", "key")).select("key", "at", F.col("spot").cast("byte").alias("spot")).repartition("key")
     # Per key: the earliest indexed line meets every row, the earliest probing line every indexed row.
-    first = met.groupBy("key").agg(F.min(F.when(~F.col("probe"), F.col("at"))).alias("of_index"), F.min(F.when(F.col("probe"), F.col("at"))).alias("of_probe"), F.min("at").alias("low"), F.max("at").alias("high"))
+    indexed = F.col("spot") <= k
+    first = met.groupBy("key").agg(F.min(F.when(indexed, F.col("at"))).alias("of_index"), F.min(F.when(~indexed, F.col("at"))).alias("of_probe"), F.min("at").alias("low"), F.max("at").alias("high"))
     first = first.where("low <> high and of_index is not null").drop("low", "high")
     shared = stored(met.join(first, "key"))
-    star = shared.select(F.col("at").alias("later"), F.explode(F.array("of_index", F.when(~F.col("probe"), F.col("of_probe")))).alias("earlier"))
+    star = shared.select(F.col("at").alias("later"), F.explode(F.array("of_index", F.when(indexed, F.col("of_probe")))).alias("earlier"))
     star = star.where("earlier is not null and earlier < later")
     gone = stored(_matches(star, docs, min_chars, k).select(F.col("later").alias("at")).distinct())
-    # A line that is left may still be near another earlier line of its keys.  Letter counts, whose
-    # differences sum to 2 k at most for lines within k, keep most pairs of a large group apart.
-    left = shared.join(gone, "at", "left_anti").where("of_index < at or (not probe and of_probe < at)")
-    some = stored(shared.join(left.select("key").distinct(), "key", "left_semi"))
-    wanted = stored(some.select("at").distinct())
-    counts = _lines(docs, min_chars).select(F.struct("d", "p").alias("at"), letter_counts(F.col("line")).alias("letters"))
-    counts = counts.join(_few(wanted, wanted.count()), "at", "left_semi").dropDuplicates(["at"])
-    some = stored(some.join(counts, "at"))
-    later = some.join(gone, "at", "left_anti").where("of_index < at or (not probe and of_probe < at)")
-    later = later.select("key", F.col("at").alias("later"), F.col("probe").alias("probing"), "of_index", "of_probe", F.col("letters").alias("x"))
-    other = later.join(some.select("key", F.col("at").alias("earlier"), "probe", F.col("letters").alias("y")), "key")
-    other = other.where("earlier < later and not (probing and probe)").where("not (earlier <=> of_index) and not (not probing and earlier <=> of_probe)")
+    # A line that is left may still be near another earlier line of its keys.
+    waits = f"of_index < at or (spot <= {k} and of_probe < at)"
+    some = shared.join(gone, "at", "left_anti").where(waits).groupBy("key").agg(F.count(F.lit(1)).alias("waiting"))
+    some = stored(shared.join(some, "key"))
+    loads = some.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    lines = stored(_of_places(docs, some, min_chars).select("at", "line", "n", code_counts(F.col("line")).alias("x")))
+    some = some.join(loads, "key").join(lines, "at")
+    plain = some.where(F.col("m") <= PLAIN_KEY).select("key", F.lit(0).cast("long").alias("second"), indexed.alias("entry"), "at", "spot", "of_index", "of_probe", "x")
+    seconds = second_keys(F.col("line"), F.col("n"), F.col("spot"), k)
+    many = some.where(F.col("m") > PLAIN_KEY).select("key", F.inline(seconds), "at", "spot", "of_index", "of_probe", "x")
+    some = stored(plain.unionByName(many))
+    later = some.join(gone, "at", "left_anti").where(waits).select("key", "second", F.col("at").alias("later"), F.col("entry").alias("entry_of_later"), "spot", "of_index", "of_probe", "x")
+    other = later.join(some.select("key", "second", F.col("at").alias("earlier"), "entry", F.col("x").alias("y")), ["key", "second"])
+    other = other.where("earlier < later and (entry or entry_of_later)").where(f"not (earlier <=> of_index) and not (spot <= {k} and earlier <=> of_probe)")
     other = other.where(F.aggregate(F.zip_with("x", "y", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d) <= 2 * k)
     gone = stored(gone.union(_matches(other, docs, min_chars, k).select("later")).distinct())
     verdict = classes.select("h", "g", F.col("at")).join(gone.withColumn("near", F.lit(True)), "at", "left")
@@ -208,15 +285,22 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, k: int = K, sho
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, k: int = K, short: bool = False) -> tuple[DataFrame, str]:
     """``docs`` with the text's dropped lines gone, and an added count column, whose name is returned."""
-    gone = duplicate_lines(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text")), min_chars, k, short)
+    base = free_name(docs, "dedup_base")
+    placed = _placed(docs, doc_id, text, base)
+    gone = duplicate_lines(placed.select(F.col(f"`{doc_id}`").alias("d"), F.col(base).alias("base"), F.col(f"`{text}`").alias("text")), min_chars, k, short)
     name, own, places = free_name(docs, "n_dropped"), free_name(docs, "dedup_id"), free_name(docs, "dedup_places")
     gone = stored(gone.groupBy(F.col("d").alias(own)).agg(F.sort_array(F.collect_list("p")).alias(places)))
-    gone = _few(gone, gone.count())
-    both = docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(own)), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(places, i)), "\n")
+    size = gone.agg(F.count(F.lit(1)), F.sum(F.size(places))).first()
+    gone = _few(gone, PLACE_BYTES * size[0] + 8 * (size[1] or 0), 1)
+    both = placed.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(own)), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(places, F.col(base) + i)), "\n")
+    # The end of the text's own places is a column of its own: the select below gives ``text`` anew.
+    end = free_name(docs, "dedup_end")
+    both = both.withColumn(end, F.when(F.col(places).isNotNull(), F.col(base) + F.size(F.split(text, "\n", -1))))
+    dropped = F.size(F.filter(places, lambda p: (p >= F.col(base)) & (p < F.col(end))))
     text_now = F.when(F.col(places).isNull(), F.col(text)).otherwise(kept).alias(text)
     cols = [text_now if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return both.select(*cols, F.coalesce(F.size(places), F.lit(0)).cast("long").alias(name)), name
+    return both.select(*cols, F.when(F.col(places).isNull(), 0).otherwise(dropped).cast("long").alias(name)), name
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
