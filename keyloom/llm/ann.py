@@ -18,7 +18,9 @@ size, so a popular bucket is no single task.
 
 Edge cases: null and zero vectors, and ones with null or non-finite components or of
 another length than most, take no part; ties go to the smaller id; rows that repeat an id
-are one candidate; fewer candidates than k give them all; an empty table gives no rows.
+are one candidate, at the best score of its vectors, and one query, by the least of its
+vectors; columns besides id and vector, whatever their names, are not read; fewer
+candidates than k give them all; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -171,7 +173,7 @@ def search(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
 
     indexed = stored(map_arrow(one, index, "vec array<double>, ids array<long>, t int, cell long"))
     filled = indexed.groupBy("t", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
-    asked = stored(asked.groupBy("id").agg(F.first("vec").alias("vec")).withColumnRenamed("id", "query"))
+    asked = stored(asked.groupBy("id").agg(F.min("vec").alias("vec")).withColumnRenamed("id", "query"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     mine = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
 
