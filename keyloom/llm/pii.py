@@ -15,7 +15,8 @@ that meets no base span of its kind is added; base spans always stay.
 
 Edge cases: null or empty text has no spans; a text of any length is scanned whole, in
 time linear in its length; touching spans are separate; repeated rows give repeated
-results.  Offsets are code points, ends exclusive.
+results; columns besides id and text, whatever their names, are not read; an empty table
+gives no rows.  Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from . import words as W
 from .frames import map_arrow, table
 
 KINDS = ("email", "ip", "card", "phone")
+#: Chains of fewer digits are no card or phone and stay, but for the dotted numbers of an address.
 LEAST_SPELLED = 7
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -276,4 +278,4 @@ def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     of = lambda kind: lambda s: s["kind"] == kind
     count = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *count, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return found.select("doc_id", *count, F.size("spans").cast("long").alias("n_spans"), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
