@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": linededup.op8_line_dedup,
         "op9_rollup_deltas": rollup.op9_rollup_deltas,
         "op10_shingle_join": shingle_join.op10_shingle_join,
+        "host_rules_by_length": quality.host_rules_by_length,
+        "rollup_of_words": rollup.rollup_of_words,
     }
 
 
@@ -30,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_preference_pairs": preferences.SQL,
         "op7_mix_sources": mixing.SQL,
         "op8_line_dedup": linededup.SQL,
-        "op9_rollup_deltas": rollup.SQL,
+        "rollup_of_words": rollup.SQL,
+        "host_rules_by_length": quality.SQL_BY_LENGTH,
     }

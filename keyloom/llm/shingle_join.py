@@ -146,6 +146,7 @@ def frequent_cells(docs: DataFrame, size: int) -> np.ndarray:
 def prepare(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, node, n, tokens, sig) of (doc_id, text), and what columns follow these; node is null for the empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_cells(docs, size))
+    more = docs.columns[2:]
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         cells = shared.value
@@ -169,7 +170,7 @@ def prepare(docs: DataFrame, size: int, percent: int) -> DataFrame:
         flat = np.concatenate([t for t in tokens if t is not None] or [np.zeros(0, np.int64)])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)), pa.array(sigs, pa.binary()), *batch.columns[2:]],
-            names=["doc_id", "node", "n", "tokens", "sig", *docs.columns[2:]],
+            names=["doc_id", "node", "n", "tokens", "sig", *more],
         )
 
     own = "".join(f", `{c}` {t}" for c, t in docs.dtypes[2:])

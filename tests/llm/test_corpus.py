@@ -1,5 +1,6 @@
 """Operators on whole tables against brute force, and their edge cases."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -8,9 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import ann, linededup, mixing, preferences, rollup, shingle_join
+from keyloom.llm import ann, bpe, linededup, mixing, preferences, quality, rollup, shingle_join
 from keyloom.llm.components import components
-from keyloom.llm.shingle_join import SignatureJoin
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -118,6 +118,45 @@ def test_line_dedup_equals_brute_force(spark):
     assert name == "n_dropped_" and linededup.deduplicate(df.limit(0))[0].count() == 0
 
 
+def test_line_dedup_popular_segments(spark, monkeypatch):
+    """Lines that share a third and differ elsewhere: edits on both sides are found by the second keys, and few pairs are made."""
+    monkeypatch.setattr(linededup, "PLAIN_KEY", 3)
+    rnd = random.Random(5)
+    word = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    rows = []
+    for letters in ("0123456789", "漢字仮名交じり文", "abcdefgh "):
+        first, middle, last = word(letters, 12), word(letters, 12), word(letters, 12)
+        lines = [first + word(letters, 24) for _ in range(14)] + [word(letters, 12) + middle + word(letters, 12) for _ in range(14)] + [word(letters, 24) + last for _ in range(14)]
+        for line in list(lines):
+            for _ in range(2):
+                s = list(line)
+                for _ in range(rnd.choice([1, 2, 2, 3])):
+                    at = rnd.randrange(len(s))
+                    s[at : at + 1] = rnd.choice([[], [rnd.choice(letters)], [s[at], rnd.choice(letters)]])
+                lines.append("".join(s))
+        rnd.shuffle(lines)
+        rows += [(len(rows) + k, "\n".join(lines[5 * k : 5 * k + 5])) for k in range(len(lines) // 5 + 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = brute_lines(rows, 8, 2)
+    want = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in rows}
+    assert {r.doc_id: r.text for r in linededup.deduplicate(df, min_chars=8)[0].collect()} == want
+
+
+def test_line_dedup_tells_documents_without_own_ids_apart(spark):
+    a, b, c = ("line %s that is long enough" % x for x in ("one - aaaa", "two - bbbb", "six - cccc"))
+    rows = [(None, f"{a}\n{b}"), (None, f"{c}\n{a}"), (None, f"{c}\n{a}"), (5, f"{b}\n5 {'x' * 30}"), (5, f"own {'y' * 40}\n{c}"), (6, None), (7, ""), (8, "z" * 300_000 + f"\n{a}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    done, n = linededup.deduplicate(df)[0].collect(), "n_dropped"
+    done = linededup.deduplicate(df, min_chars=20)[0].collect()
+    left = Counter(line for r in done if r.text for line in set(r.text.split("\n")))
+    texts = {r.text for r in done if r.doc_id is None}
+    assert left[b] == 1 and any(b in t for t in texts) and left[c] == 2 and left[a] in (1, 2) and not any(a in t for t in texts if b not in t and c not in t)
+    assert all(r[n] == (t or "").count("\n") - (r.text or "").count("\n") for r in done for i, t in rows if r.doc_id == i and r.doc_id in (6, 7, 8))
+    five = sorted(r.text for r in done if r.doc_id == 5)
+    assert five == [f"5 {'x' * 30}", f"own {'y' * 40}"]
+    assert [r.text for r in done if r.doc_id == 8] == ["z" * 300_000]
+
+
 # ---- shingle join ----------------------------------------------------------------------
 
 
@@ -143,9 +182,36 @@ def brute_classes(rows):
     return Counter((i, len(sets[k]), min(least[find(k)])) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [300, 1_500_000])
-def test_shingle_join_equals_brute_force(spark, block, monkeypatch):
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(k).count("1") & 1] for k in range(n))
+
+
+def test_hashes_keep_complements_apart(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2^64."""
+    words = [thue_morse(n, x) for n in (64, 1024, 2048, 4096) for x in ("ab", "ba")]
+    rows = [(k, w) for k, w in enumerate(words)] + [(20, " ".join(words)), (21, " ".join(reversed(words)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in shingle_join.classes(df).collect()) == brute_classes(rows)
+    lines = spark.createDataFrame([(1, "\n".join(words), "s"), (2, "\n".join(words + words[:3]), "s")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.n_dup_lines for r in quality.measure(lines).collect()} == {1: 0, 2: 3}
+
+
+def test_shingle_join_one_shared_passage(spark, monkeypatch):
+    """Many documents that share a passage without linking: no task sees them all, and links between them are found."""
+    monkeypatch.setattr(shingle_join, "CHUNK_MEMBERS", 16)
+    rnd = random.Random(11)
+    passage = [f"p{k}" for k in range(80)]
+    own = lambda i, n: [f"d{i}x{k}" for k in range(n)]
+    rows = [(i, " ".join(own(i, rnd.randint(8, 40)) + passage[: rnd.randint(60, 80)])) for i in range(150)]
+    rows += [(500 + k, rows[3 * k][1] + " tail") for k in range(20)] + [(600, " ".join(own(600, 20_000) + passage)), (601, " ".join(own(600, 20_000) + passage + ["more"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in shingle_join.classes(df).collect()) == brute_classes(rows)
+
+
+@pytest.mark.parametrize("block, chunk", [(300, 7), (1_000_000, 1500)])
+def test_shingle_join_equals_brute_force(spark, block, chunk, monkeypatch):
     monkeypatch.setattr(shingle_join, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(shingle_join, "CHUNK_MEMBERS", chunk)
     rnd = random.Random(7)
     vocabulary = [f"w{k}" for k in range(900)]
     text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
@@ -173,8 +239,7 @@ def test_signature_tree_prunes_and_is_exact():
     for _ in range(40):
         base = np.unique(rng.integers(0, 1 << 62, 80).astype(np.uint64))
         sets += [np.unique(np.concatenate((rng.choice(base, int(len(base) * 0.93), replace=False), rng.integers(0, 1 << 62, 3).astype(np.uint64)))) for _ in range(6)]
-    join = SignatureJoin(sets, 75)
-    roots = join.roots()
+    roots, compared = shingle_join.links_within(sets, 75)
     for a in range(len(sets)):
         for b in range(a):
             both = len(np.intersect1d(sets[a], sets[b]))
@@ -182,7 +247,8 @@ def test_signature_tree_prunes_and_is_exact():
                 assert roots[a] == roots[b]
             elif a // 6 != b // 6:
                 assert roots[a] != roots[b]
-    assert join.compared < len(sets) * (len(sets) - 1) / 8
+    assert compared < len(sets) * (len(sets) - 1) / 8
+    assert (shingle_join.links_within(sets, 75, 17)[0] == roots).all()
 
 
 def test_components(spark):
@@ -251,13 +317,63 @@ def test_mixing_targets_quotas_and_edges(spark):
     assert mixing.draw(df.limit(0))[0].count() == 0
 
 
+def brute_shards(quotas, levels, seed):
+    """The shard of each block of each source, by one draw after the other."""
+    md5 = lambda *x: hashlib.md5(":".join(map(str, x)).encode()).hexdigest()
+    nodes = {0: dict(quotas)}
+    for level in range(levels):
+        below = {}
+        for node, own in nodes.items():
+            tokens = sorted((md5(seed, node + (1 << level), k, i), k) for k, q in own.items() for i in range(1, q + 1))
+            for side, part in enumerate((tokens[: len(tokens) // 2], tokens[len(tokens) // 2 :])):
+                below[2 * node + side] = Counter(k for _, k in part)
+        nodes = below
+    out = {}
+    for k, q in quotas.items():
+        permuted = sorted(range(q), key=lambda b: md5(seed, "block", k, b))
+        shards = [s for s in sorted(nodes) for _ in range(nodes[s].get(k, 0))]
+        assert len(shards) == q
+        out[k] = [s for _, s in sorted(zip(permuted, shards))]
+    return out
+
+
 def test_tree_deals_every_block_once(spark):
-    sizes = spark.createDataFrame([(False, "a", 1000), (False, "b", 500), (True, "", 10)], "null boolean, src string, size long")
+    sizes = spark.createDataFrame([(False, "a", 1000), (False, "b", 500), (True, "", 10), (False, "none", 0)], "null boolean, src string, size long")
     plan = mixing.source_plan(sizes, (5.0, 2.0, 1.0), 1.5, 2.0, 3, 16, 7).collect()
     load = Counter(s for r in plan for s in r.shards)
     assert set(load) == set(range(8)) and max(load.values()) - min(load.values()) <= 3
     total = sum(r.target for r in plan)
     assert all(len(r.shards) == -(-r.target // (total / 128)) for r in plan)
+    of = {(False, "a"): 0, (False, "b"): 1, (False, "none"): 2, (True, ""): 3}
+    want = brute_shards({of[r.null, r.src]: len(r.shards) for r in plan if r.shards}, 3, 7)
+    assert all(list(r.shards) == want.get(of[r.null, r.src], []) for r in plan)
+
+
+def test_draws_follow_the_blocks(spark):
+    """Shard and place of every draw against one sequential pass; blocks are disjoint, quotas exact."""
+    rnd = random.Random(13)
+    rows = [(i, " ".join(["w"] * rnd.choice([1, 3, 9, 30])), rnd.choice("aaab")) for i in range(300)] + [(999, "long " * 20_000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn, name = mixing.draw(df, levels=2, per_shard=8)
+    got = {r.doc_id: r[name] for r in drawn.collect()}
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    target = brute_targets(sizes)
+    block = max(sum(target.values()) / 32, 1.0)
+    quotas = {k: int(-(-target[s] // block)) for k, s in enumerate("ab")}
+    shards = brute_shards(quotas, 2, 7)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    for k, s in enumerate("ab"):
+        at = 0
+        for key, i, size in sorted((md5(f"{i}:7"), i, len(t.split())) for i, t, x in rows if x == s):
+            want = []
+            for copy in (0, 1):
+                o = at + copy * sizes[s]
+                if 2 * o + size < 2 * target[s]:
+                    want.append((copy, shards[k][min(int(o * quotas[k] / target[s]), quotas[k] - 1)], int(md5(f"{key}:{copy}")[:15], 16)))
+            assert [tuple(d) for d in got[i].draws] == want
+            at += size
 
 
 # ---- preferences -----------------------------------------------------------------------
@@ -266,7 +382,7 @@ def test_tree_deals_every_block_once(spark):
 def test_preferences(spark):
     rows = [
         (1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "yes"), (1, "rejected", 0, "user", "hi"), (1, "rejected", 1, "assistant", "no"), (1, "rejected", 2, "user", "é"),
-        (2, "chosen", 0, "user", "same"), (2, "rejected", 5, "user", "same"), (3, "chosen", 0, None, None), (None, "chosen", 0, "user", "x"), (4, "odd", 0, "user", "x"), (5, "chosen", None, "user", "x"),
+        (1, "chosen", 1, "assistant", "yes"), (2, "chosen", 0, "user", "same"), (2, "rejected", 5, "user", "same"), (3, "chosen", 0, None, None), (None, "chosen", 0, "user", "x"), (4, "odd", 0, "user", "x"), (5, "chosen", None, "user", "x"),
     ]
     df = spark.createDataFrame([(*r, "kept") for r in rows], "pair long, side string, turn long, role string, text string, prompt string")
     got = {r.pair: r for r in preferences.format_pairs(df).collect()}
@@ -277,6 +393,24 @@ def test_preferences(spark):
     assert got[2].n_common == 1 and got[2].chosen == got[2].rejected == ""
     assert got[3].n_common == 0 and got[3].prompt == "" and got[3].rejected == "" and got[3].chosen == "<||>\n<|end|>\n"
     assert preferences.format_pairs(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(9, s, 0, "assistant", "é" * 300_000 + s) for s in ("chosen", "rejected")], "pair long, side string, turn long, role string, text string")
+    far = preferences.format_pairs(long).first()
+    assert far.n_common == 0 and far.chosen[far.chosen_mask[0].start : far.chosen_mask[0].end] == "é" * 300_000 + "chosen<|end|>\n"
+
+
+def test_answered_otherwise(spark):
+    rows = [
+        (0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 1, "assistant", "a"), (0, 2, "user", "thanks"), (1, 0, "assistant", "b"), (1, 1, "assistant", "c"),
+        (2, 0, "user", "alone"), (4, 0, "assistant", "same"), (5, 0, "assistant", "same"), (None, 0, "user", "x"), (6, None, "user", "x"), (8, 0, None, None), (9, 0, "assistant", None),
+    ]
+    df = spark.createDataFrame([(*r, "kept") for r in rows], "conv_id long, turn long, role string, text string, chosen string")
+    made = {r.pair: r for r in preferences.format_sides(preferences.answered_otherwise(df)).collect()}
+    assert set(made) == {0, 1, 2, 4, 5, 8, 9}
+    show = lambda *turns: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in turns)
+    assert (made[0].prompt, made[0].chosen, made[0].rejected) == (show(("user", "q")), show(("assistant", "a"), ("user", "thanks")), show(("assistant", "c"), ("user", "thanks")))
+    assert (made[1].prompt, made[1].chosen, made[1].rejected) == (show(("assistant", "b")), show(("assistant", "c")), show(("assistant", "a")))
+    assert made[2].n_common == 1 and made[4].n_common == 1 and made[4].chosen == made[4].rejected == ""
+    assert preferences.answered_otherwise(df.limit(0)).count() == 0
 
 
 # ---- rollups ---------------------------------------------------------------------------
@@ -308,3 +442,25 @@ def test_rollup_is_idempotent_and_additive(spark, tmp_path):
         store.commit("b6", batch(("upsert", "a", "en", "v1", 1, None)))
     with pytest.raises(ValueError):
         store.commit("a/b", first)
+
+
+def test_token_rollup_equals_brute_force(spark):
+    """Counts by two tokenizers against tiktoken, through inserts, deletes, revisions and a batch sent twice."""
+    import tiktoken
+
+    rnd = random.Random(8)
+    text = lambda: "".join(rnd.choice(["The ", "naïve  ", "\n\t", "été ", "漢字", "x" * 30, "don't ", " "]) for _ in range(rnd.randint(0, 30)))
+    rows = [(i, rnd.choice([text(), text(), None, ""]), rnd.choice(["en", None]), rnd.choice("ab")) for i in range(80)] + [(13, "twice here", "en", "a")] * 2 + [(97, "word  " * 40_000, "en", "a")]
+    df = spark.createDataFrame([(*r, "kept", "kept") for r in rows], "doc_id long, text string, lang string, source string, counts string, now string")
+    want = Counter()
+    docs = Counter()
+    for name, file in rollup.TOKENIZERS.items():
+        other = tiktoken.Encoding("own", pat_str=bpe.public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.public_tokenizers.path(file)), special_tokens={})
+        for i, t, lang, source in rows:
+            if i % 10 != 3:
+                t = re.sub(r"[ \t\n\x0b\f\r]+", " ", t or "") if i % 10 == 7 else t or ""
+                want[source, lang, name] += len(other.encode_ordinary(t))
+                docs[source, lang, name] += 1
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup._maintained(spark, rollup.token_counts(df)).collect()}
+    assert got == {k: (docs[k], want[k]) for k in docs}
+    assert rollup._maintained(spark, rollup.token_counts(df.limit(0))).count() == 0

@@ -1,6 +1,7 @@
 """Operators on single documents against brute force, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -96,6 +97,33 @@ def test_pii_chains_are_linear_and_leave_prose_alone():
         assert pii.all_spans(t)[1] == []
 
 
+def test_pii_random_disguises_map_back():
+    """Identifiers under random disguises between random words: the span found is the disguise, whole."""
+    rnd = random.Random(21)
+    names = "zero one two three four five six seven eight nine".split()
+    alike = {"a": "а", "e": "е", "o": "о", "p": "р", "c": "с"}
+    blur = lambda t: "".join(alike.get(c, c) if rnd.random() < 0.5 else c for c in t)
+    wide = lambda t: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() and rnd.random() < 0.5 else c for c in t)
+
+    def spelled(digits, sep):
+        return sep.join(names[int(c)] if rnd.random() < 0.7 else c for c in digits)
+
+    filler = ["the words", "stand; here", "ünd — dort", "漢字", "(so)", "no numbers."]
+    for _ in range(400):
+        user, host = "".join(rnd.choices("abcdeop", k=6)), "".join(rnd.choices("abcdeop", k=5))
+        at, dot = rnd.choice([" [at] ", " (at) ", " at ", "@"]), rnd.choice([" [dot] ", " (dot) ", " dot "])
+        ip = [str(rnd.randrange(1, 256)) for _ in range(4)]
+        kind, hidden = rnd.choice([
+            ("email", blur(user) + at + host + dot + "com"), ("email", "а" + blur(user) + "@" + host + ".com"), ("ip", " dot ".join(ip)), ("ip", wide("１." + ".".join(ip[1:]))),
+            ("ip", " dot ".join(spelled(x, " ") for x in ["1" if rnd.random() < 0.5 else "one", *ip[1:]])), ("phone", "plus " + "one " + spelled("".join(rnd.choices("0123456789", k=10)), rnd.choice([" ", "-", ", "]))),
+        ])
+        before, after = rnd.choice(filler), rnd.choice(filler)
+        text = f"{before} : {hidden} ; {after}"
+        base, found = pii.all_spans(text)
+        spans = [(pii.KINDS[k], text[a:b]) for a, k, b in found]
+        assert (kind, hidden) in spans, (text, spans)
+
+
 def test_pii_leaves_prose_alone():
     for t in ("one of two, at home. three dots", "we met at noon dot", "un deux trois", "price [.] at (home)"):
         assert pii.all_spans(t)[1] == []
@@ -136,6 +164,47 @@ def test_language_mixture_and_edges(spark):
     assert {r[pred] for r in langid.identify(docs(spark, rows), none)[0].collect()} == {"und"}
 
 
+def reference_mixture(table, penalty, rounds):
+    """One document: units x languages log-likelihoods to shares, by plain EM and a greedy penalised search over all languages."""
+
+    def em(active):
+        share = {j: 1 / len(active) for j in active}
+        for _ in range(rounds):
+            each = [[share[j] * math.exp(row[j] - max(row)) for j in active] for row in table]
+            share = {j: sum(e[k] / sum(e) for e in each) / len(table) for k, j in enumerate(active)}
+        return share, sum(math.log(sum(share[j] * math.exp(row[j] - max(row)) for j in active)) + max(row) for row in table)
+
+    best = max(range(len(table[0])), key=lambda j: sum(row[j] for row in table))
+    active, score = [best], sum(row[best] for row in table)
+    while True:
+        tried = [(em(active + [j]), j) for j in range(len(table[0])) if j not in active]
+        (_, ll), j = max(tried, key=lambda x: x[0][1], default=((None, -math.inf), None))
+        if ll - penalty <= score:
+            return em(active)[0]
+        active, score = active + [j], ll - penalty
+
+
+def test_language_mixture_equals_reference(spark):
+    rnd = random.Random(17)
+    tongues = {f"l{k}": ["".join(rnd.choices("abcdefghijklmnop"[k : k + 8], k=rnd.randint(3, 8))) for _ in range(30)] for k in range(7)}
+    train = spark.createDataFrame([(" ".join(rnd.choices(w, k=80)), k) for k, w in tongues.items() for _ in range(4)], "text string, lang string")
+    model = langid.fit(train)
+    texts = []
+    for _ in range(60):
+        parts = rnd.sample(sorted(tongues), rnd.choice([1, 2, 3, 5, 6]))
+        texts.append(" ".join(w for p in parts for w in rnd.choices(tongues[p], k=rnd.randint(8, 60))))
+    pred, score, shares = langid.infer(model, langid.pa.array(texts))
+    several = 0
+    for i, t in enumerate(texts):
+        cells, at, _, size, _ = langid._evidence(langid.pa.array([t]))
+        table = [[float(model.scores[cells[a : a + n], j].sum(dtype=float)) for j in range(7)] for a, n in zip(at, size)]
+        want = reference_mixture(table, 0.5 * math.log(max(len(table), 2)) + 1, langid.ROUNDS)
+        several += len(want) > 4
+        assert all(abs(shares[i][j] - want.get(j, 0)) < 1e-3 for j in range(7)), (i, want, shares[i])
+        assert pred[i] == model.langs[max(want, key=want.get)] and abs(score[i] - max(want.values())) < 1e-3
+    assert several >= 5
+
+
 # ---- byte-level BPE --------------------------------------------------------------------
 
 
@@ -204,5 +273,14 @@ def test_host_verdicts(spark):
     kept = {r.doc_id: r.kept for r in quality.apply_rules(df).collect()}
     assert kept[0] and not kept[100] and not kept[200] and not kept[201] and kept[202] and not kept[203]
     rates = {r.host: r.host_rate for r in quality.host_verdicts(quality.measure(df).withColumn("base_failed", quality.base_failed())).collect()}
+    verdict = {r.host: r.host_kept for r in quality.host_verdicts(quality.measure(df).withColumn("base_failed", quality.base_failed())).collect()}
+    assert verdict["good"] and not verdict["bad"]
     assert rates["tiny"] < 1 and rates["good"] < rates["tiny"] <= rates["bad"] + 0.05
     assert quality.apply_rules(df.limit(0)).count() == 0
+    clash = df.withColumn("host", F.lit("x")).withColumn("n_words", F.lit("y")).withColumn("kept", F.lit("z"))
+    assert {r.doc_id: r.kept for r in quality.apply_rules(clash).collect()} == kept
+
+
+def test_host_verdict_binds_on_real_rows(spark):
+    got = registry.queries()["host_rules_by_length"](spark, DATA)
+    assert got.where("kept <> not base_failed").count() > 0

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from keyloom.llm import bpe
@@ -79,3 +80,28 @@ def test_repeated_rows_and_empty_table(spark):
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()] == [1]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.limit(0), "").count() == 0
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, and columns whose names clash, in every stage."""
+    rnd = random.Random(3)
+    words = "the of and thing that with onth erst".split()
+    line = lambda n: " ".join(rnd.choice(words) + rnd.choice(["", "s", "er"]) for _ in range(n))
+    a, b, c, d = (line(40) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (8, None), (9, ""), (10, " \n "), (11, line(60_000)), (12, a + " more"), (13, "z" * 300_000)]
+    clash = ["component", "n_rows", "mix", "mix_src", "ids", "score", "lang_pred", "n_dropped", "near_id", "dedup_base", "root", "text_hash", "node", "n"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in clash:
+        df = df.withColumn(name, F.lit("kept"))
+    columns = df.columns
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, df, "").write.parquet(str(tmp_path / name))
+        df = spark.read.parquet(str(tmp_path / name))
+        if name != "bpe_encode":
+            assert df.columns == columns and all(r[c] == "kept" for r in df.collect() for c in clash)
+        kept[name] = Counter((r.doc_id, None if name == "bpe_encode" else r.text) for r in df.collect())
+    assert set(kept["language_id"]) == {(i, t) for i, t in rows if t and t.strip()}
+    near = kept["near_duplicates"]
+    assert near[None, a] + near[12, a + " more"] == 1 and near[None, b] == 1 and near[7, c] == near[7, d] == 1 and near[11, rows[9][1]] == 1
+    assert set(kept["mix_sources"]) <= set(near) and max(kept["mix_sources"].values()) <= 2
