@@ -9,6 +9,9 @@ from ..functions.hashing import letters
 from ..functions.keys import HIGHEST, LOWEST, host_of
 
 
+LOOK_AHEAD = 8
+
+
 def layout(spark: SparkSession, n: int) -> DataFrame:
     """n regions over two-letter bounds, open at both ends (G1)."""
     i = F.col("id")
@@ -28,15 +31,26 @@ def random_layout(spark: SparkSession, n: int, seed: int) -> DataFrame:
 def assign(regions: DataFrame, servers: DataFrame, backups: int) -> DataFrame:
     """(id, place, server): primary hosts[i mod H] at place 0, then the next servers on other hosts.
 
-    ``servers`` has (position, server), positions 0..H-1.  Every region looks at each
-    server once, so this is for region tables, not for data.
+    ``servers`` has (position, server), positions 0..H-1.  Each position looks at its next
+    LOOK_AHEAD servers; only those that see too few hosts there look further, four times as
+    far each round, so the work follows the servers, not regions times servers.
     """
-    h = servers.count()
-    steps = regions.select("id", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("j")).withColumn("position", (F.col("id") + F.col("j")) % h)
-    seen = steps.join(F.broadcast(servers) if h <= 100_000 else servers, "position").withColumn("host", host_of(F.col("server")))
-    first = seen.groupBy("id", "host").agg(F.min(F.struct("j", "server")).alias("x")).select("id", "x.j", "x.server")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("j")) - 1
-    return first.withColumn("place", place).where(F.col("place") <= backups).select("id", "place", "server")
+    h, wanted = servers.count(), backups + 1
+    ring = servers.select("position", "server", host_of(F.col("server")).alias("host"))
+    starts, found, ahead = servers.select(F.col("position").alias("start")), None, min(h, LOOK_AHEAD * wanted)
+    while h:
+        steps = starts.select("start", F.explode(F.sequence(F.lit(0), F.lit(ahead - 1))).alias("j")).withColumn("position", (F.col("start") + F.col("j")) % h)
+        first = steps.join(ring, "position").groupBy("start", "host").agg(F.min(F.struct("j", "server")).alias("x"))
+        near = first.groupBy("start").agg(F.slice(F.sort_array(F.collect_list("x")), 1, wanted).alias("near"))
+        done = near if ahead >= h else near.where(F.size("near") >= wanted)
+        found = done if found is None else found.unionByName(done)
+        if ahead >= h or (short := near.where(F.size("near") < wanted).select("start")).isEmpty():
+            break
+        starts, ahead = short, min(h, 4 * ahead)
+    if found is None:
+        return regions.select("id", F.lit(0).alias("place"), F.lit(None).cast("string").alias("server")).limit(0)
+    homes = regions.select("id", F.pmod("id", F.lit(h)).alias("start")).join(found, "start")
+    return homes.select("id", F.posexplode("near").alias("place", "x")).select("id", "place", F.col("x.server").alias("server"))
 
 
 def newcomers(alive: DataFrame, known: DataFrame, name: str = "server") -> DataFrame:
@@ -91,7 +105,7 @@ def open_commands(replicas: DataFrame) -> DataFrame:
 def election(nodes: DataFrame) -> DataFrame:
     """Each node's predecessor to watch; the first by name leads (T5, Q11).
 
-    Election nodes are the members of one control plane: a handful of rows.
+    Election nodes are the members of one control plane: a handful of rows, whatever the data.
     """
     w = Window.partitionBy(F.lit(0)).orderBy("node")
     return nodes.select("node", (F.row_number().over(w) == 1).alias("leader"), F.lag("node").over(w).alias("watches"))

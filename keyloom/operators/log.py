@@ -6,10 +6,11 @@ total order by lsn.  Survey ids: D3, D4, W1-W6, W8, W10, S6, X1, X4, R5, J7, Q6,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import records
+from .running import last_before
 
 PUT, PUT_IF_EXISTS, DELETE = "put", "put_if_exists", "delete"
 
@@ -43,10 +44,8 @@ def current_state(log: DataFrame) -> DataFrame:
 
 def outcomes(log: DataFrame) -> DataFrame:
     """The log with ``applied``: false for a conditional put or delete of a key that is not there."""
-    before = Window.partitionBy("key").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("op").isin(PUT, DELETE), F.col("op")), ignorenulls=True).over(before)
-    exists = F.coalesce(last == PUT, F.lit(False))
-    return log.withColumn("applied", (F.col("op") == PUT) | exists)
+    marked = last_before(log, ["key"], "lsn", F.when(F.col("op").isin(PUT, DELETE), F.col("op")), "settled")
+    return marked.withColumn("applied", (F.col("op") == PUT) | F.coalesce(F.col("settled") == PUT, F.lit(False))).drop("settled")
 
 
 def rejected(log: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import segment_start
+from .running import sum_before
 
 
 def translate(offsets: DataFrame, segments: DataFrame, size: int, offset: str = "offset") -> DataFrame:
@@ -17,13 +18,11 @@ def translate(offsets: DataFrame, segments: DataFrame, size: int, offset: str =
 def fill_buffers(log: DataFrame, size: int, bytes_: Column, region: str = "region") -> DataFrame:
     """Each record's buffer and place by the running byte sum of its region's log.
 
-    A record belongs to the buffer in which it starts.  The running sum is per region, as
-    the buffers are; a region's log is bounded by what its server holds.
+    A record belongs to the buffer in which it starts.  The sum runs over stretches of the
+    log first, so a long region is no single task.
     """
-    before = Window.partitionBy(region).orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
-    sized = log.withColumn("bytes", bytes_.cast("long"))
-    start = F.coalesce(F.sum("bytes").over(before), F.lit(0))
-    return sized.withColumn("start", start).withColumn("buffer", F.floor(F.col("start") / size).cast("long")).withColumn("place", F.col("start") % size)
+    placed = sum_before(log.withColumn("bytes", bytes_.cast("long")), [region], "lsn", F.col("bytes"), "start")
+    return placed.withColumn("buffer", F.floor(F.col("start") / size).cast("long")).withColumn("place", F.col("start") % size)
 
 
 def contiguous(acks: DataFrame, first: int = 0) -> DataFrame:

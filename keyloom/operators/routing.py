@@ -24,17 +24,29 @@ def _index(key: Column, bounds: Column) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi")), step, lambda s: s["lo"])
 
 
+def _route_by_bounds(keys: DataFrame, regions: DataFrame, key: str) -> DataFrame:
+    bounds = regions.where(F.col("min_key") != LOWEST).select("min_key").distinct().orderBy(F.xxhash64("min_key"), "min_key").limit(MOST_REGIONS)
+    pivots = F.array(*[F.lit(x) for x in sorted(r[0] for r in bounds.collect())])
+    # A region starts between two bounds and may go on over the next ones.
+    low = F.when(F.col("min_key") == LOWEST, 0).otherwise(_index(F.col("min_key"), pivots))
+    high = F.when(F.col("max_key") == HIGHEST, F.size(pivots)).otherwise(_index(F.col("max_key"), pivots))
+    r = regions.select(F.col("id").alias("region"), "min_key", "max_key", F.explode(F.sequence(low, F.greatest(low, high))).alias("_cell"))
+    placed = keys.withColumn("_cell", _index(F.col(key), pivots))
+    held = (placed["_cell"] == r["_cell"]) & at_or_above(F.col(key), F.col("min_key")) & below(F.col(key), F.col("max_key"))
+    return placed.join(r, held, "left").drop("min_key", "max_key", "_cell")
+
+
 def route(keys: DataFrame, regions: DataFrame, key: str = "key") -> DataFrame:
     """``keys`` with the id of the region [min_key, max_key) that holds each, null where none does.
 
     A small region table becomes a sorted array in the plan and each key is placed by
-    bisection: no nested loop, and no shuffle.  A larger one is range-joined.
+    bisection: no nested loop, and no shuffle.  Of a larger one, MOST_REGIONS of its bounds
+    are the plan's array; keys and regions get the number of bounds below them and are
+    joined on that, so a key meets the few regions between two bounds.
     """
     rows = regions.select("id", "min_key", "max_key").limit(MOST_REGIONS + 1).collect()
     if len(rows) > MOST_REGIONS:
-        r = regions.select(F.col("id").alias("region"), "min_key", "max_key")
-        held = at_or_above(F.col(key), F.col("min_key")) & below(F.col(key), F.col("max_key"))
-        return keys.join(r, held, "left").drop("min_key", "max_key")
+        return _route_by_bounds(keys, regions, key)
     rows.sort(key=lambda r: b"" if r["min_key"] == LOWEST else b"\1" + r["min_key"].encode())
     lit = lambda xs, kind: F.array(*map(F.lit, xs)).cast(f"array<{kind}>") if xs else F.expr(f"cast(array() as array<{kind}>)")
     low = [r["min_key"] for r in rows if r["min_key"] != LOWEST]

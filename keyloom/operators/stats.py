@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import picks
+
 MOST_LATENCY = 100_000
 PERCENTILES = (0.5, 0.7, 0.9, 0.99, 0.999, 0.9999)
 
@@ -55,11 +57,8 @@ def monitor_samples(samples: DataFrame) -> DataFrame:
 
 def sorted_picks(samples: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """The elements at n/2, 90n/100 and 99n/100 of the sorted samples (A5)."""
-    order = F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1
-    size = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
-    ranked = samples.withColumn("at", order).join(size, list(by))
-    pick = lambda share: F.max(F.when(F.col("at") == F.floor(F.col("size") * share / 100), F.col(value)))
-    return ranked.groupBy(*by).agg(pick(50).alias("p50"), pick(90).alias("p90"), pick(99).alias("p99"))
+    place = lambda share: F.floor(F.col("size") * share / 100)
+    return picks(samples, by, value, {"p50": place(50), "p90": place(90), "p99": place(99)})
 
 
 def throughput(clients: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -89,11 +88,10 @@ def counter_delta(start: DataFrame, stop: DataFrame, seconds: Column | float | N
 
 def request_sizes(samples: DataFrame) -> DataFrame:
     """Mean operations in flight and bytes per operation of each device, 0 where none ran."""
-    w = Window.partitionBy("device").orderBy("ts")
-    d = lambda c: F.col(c) - F.lag(c).over(w)
-    steps = samples.select("device", "in_flight", d("ops").alias("d_ops"), d("bytes").alias("d_bytes"))
-    size = F.when(F.sum("d_ops") == 0, F.lit(0.0)).otherwise(F.sum("d_bytes") / F.sum("d_ops"))
-    return steps.groupBy("device").agg(F.avg("in_flight").alias("in_flight"), F.coalesce(size, F.lit(0.0)).alias("request_bytes"))
+    # The steps of a running total sum to its last value less its first.
+    moved = lambda c: F.max_by(c, "ts") - F.min_by(c, "ts")
+    sums = samples.groupBy("device").agg(F.avg("in_flight").alias("in_flight"), moved("ops").alias("ops"), moved("bytes").alias("bytes"))
+    return sums.select("device", "in_flight", F.when(F.col("ops") == 0, F.lit(0.0)).otherwise(F.col("bytes") / F.col("ops")).alias("request_bytes"))
 
 
 def cpu_use(samples: DataFrame) -> DataFrame:

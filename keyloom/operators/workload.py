@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing
+from ..functions import hashing, records
 
 # Fixed value: the usual skew of the zipfian generator.
 THETA = 0.99
+# Shares of small and medium values of each size mix, and the sizes that are written.
 SIZE_MIXES = {"s": (100, 0), "m": (0, 100), "l": (0, 0), "sd": (60, 20), "md": (20, 60), "ld": (20, 20), "sd40": (40, 30), "sd80": (80, 10)}
 INSERT_SIZES, UPDATE_SIZES = (10, 120, 1200), (5, 120, 1200)
 
@@ -101,3 +102,16 @@ def split_ops(n_ops: int, n_threads: int) -> list[int]:
 def scale(properties: dict[str, str], clients: int) -> dict[str, str]:
     """A workload's counts dealt to several clients."""
     return {k: str(int(v) // clients) if k in ("recordcount", "operationcount") else v for k, v in properties.items()}
+
+
+def dispatch(state: DataFrame, ops: DataFrame) -> DataFrame:
+    """Operations (i, op, key, fields) on a state (key, record): what each read and what it writes.
+
+    ``read`` and ``rmw`` give the record as ``was``; ``update`` and ``rmw`` merge their fields
+    into a record that is there, and ``insert`` writes its fields alone.  Each sees the
+    state as it was, as operations of concurrent clients may.
+    """
+    both = ops.join(state.withColumn("hit", F.lit(True)), "key", "left").withColumn("key_found", F.coalesce("hit", F.lit(False)))
+    reads, merges = F.col("op").isin("read", "rmw"), F.col("op").isin("update", "rmw")
+    becomes = F.when(F.col("op") == "insert", F.col("fields")).when(merges & F.col("key_found"), records.merge(F.col("record"), F.col("fields")))
+    return both.select("i", "op", "key", "key_found", F.when(reads, F.col("record")).alias("was"), becomes.alias("becomes"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, keys, records
-from ..operators import cluster, log, replication, routing, scan, stats, workload
+from ..operators import cluster, log, replication, routing, running, scan, stats, workload
 from ..sources import tables
 from ..streaming import logs as streams
 
@@ -111,9 +111,9 @@ def kv_value_slice(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, sha256(substr(text, 1, 20) || 'PATCHED' || substr(text, 28)) AS patched_sha256 FROM documents WHERE length(text) >= 27")
+@query("SELECT doc_id, sha256(substr(text, 1, 20) || 'PATCHED' || substr(text, 28)) AS patched_sha256 FROM documents WHERE length(text) >= 20")
 def kv_put_at_offset(spark, sf_dir):
-    docs = tables.table(spark, sf_dir, "documents").where(F.length("text") >= 27)
+    docs = tables.table(spark, sf_dir, "documents").where(~keys.offset_too_large(F.col("text"), 20))
     return docs.select("doc_id", F.sha2(keys.put_at(F.col("text"), F.lit("PATCHED"), 20), 256).alias("patched_sha256"))
 
 
@@ -192,6 +192,35 @@ def fnv_key_scramble(spark, sf_dir):
     return tables.table(spark, sf_dir, "orders").select("o_orderkey", hashing.key_name(F.col("o_orderkey"), True).alias("key"))
 
 
+_HOMES = [(0, "-oo", "Customer#000000400", "host000000:9000"), (1, "Customer#000000400", "Customer#000001000", "host000001:9002"), (2, "Customer#000001000", "+oo", "host000000:9003")]
+
+
+@query(f"""WITH r AS (SELECT c_name AS key, {_ROUTED} AS region FROM customer)
+SELECT key, region, CASE region WHEN 0 THEN 'host000000:9000' WHEN 1 THEN 'host000001:9002' ELSE 'host000000:9003' END AS hostname, s_acctbal
+FROM r JOIN supplier ON s_suppkey = CASE region WHEN 0 THEN 0 WHEN 1 THEN 7 ELSE 3 END""")
+def route_to_server(spark, sf_dir):
+    regions = spark.createDataFrame(_HOMES, "id int, min_key string, max_key string, primary string")
+    servers = tables.servers(spark, sf_dir).select(F.col("server").alias("hostname"), "s_acctbal")
+    routed = routing.route(tables.customers(spark, sf_dir).select("key"), regions)
+    return routing.connect(routed, regions, servers).select("key", "region", "hostname", "s_acctbal")
+
+
+@query(f"SELECT key, b AS bucket, {_PREFIX} AS prefix FROM (SELECT c_name AS key, ({_DJB2} % 40)::BIGINT AS b FROM customer)")
+def route_to_bucket(spark, sf_dir):
+    return routing.hash_route(tables.customers(spark, sf_dir).select("key"), 40)
+
+
+@query("SELECT o_orderkey, o_custkey % 4 + CASE WHEN o_orderkey % 2 = 0 THEN 4 ELSE 0 END AS worker FROM orders")
+def worker_of_task(spark, sf_dir):
+    h, server = F.col("o_custkey"), F.col("o_orderkey") % 2 == 0
+    return tables.table(spark, sf_dir, "orders").select("o_orderkey", F.when(server, routing.worker(h, 8, True)).otherwise(routing.worker(h, 8)).alias("worker"))
+
+
+@query("SELECT s_suppkey AS worker, floor(s_acctbal)::BIGINT AS queue_len FROM supplier ORDER BY floor(s_acctbal), s_suppkey LIMIT 1")
+def least_loaded_worker(spark, sf_dir):
+    return routing.least_loaded(tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("worker"), F.floor("s_acctbal").alias("queue_len")))
+
+
 # ---- measurements ----------------------------------------------------------------------
 
 _P = {"p50": 0.5, "p70": 0.7, "p90": 0.9, "p99": 0.99, "p99_9": 0.999, "p99_99": 0.9999}
@@ -256,9 +285,9 @@ def client_throughput(spark, sf_dir):
 d AS (SELECT device, in_flight, bytes - lag(bytes) OVER w AS b, ops - lag(ops) OVER w AS o FROM r WINDOW w AS (PARTITION BY device ORDER BY ts))
 SELECT device, round(avg(in_flight), 6) AS in_flight, round(CASE WHEN sum(o) = 0 THEN 0 ELSE sum(b) / sum(o) END, 6) AS request_bytes FROM d GROUP BY device""")
 def device_request_sizes(spark, sf_dir):
-    w = Window.partitionBy("device").orderBy("ts")
     rows = tables.table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("device"), F.col("event_id").alias("ts"), F.col("value").alias("in_flight"), F.length("props").alias("size"))
-    samples = rows.withColumn("bytes", F.sum("size").over(w)).withColumn("ops", F.row_number().over(w))
+    samples = running.sum_before(running.sum_before(rows, ["device"], "ts", F.col("size"), "bytes"), ["device"], "ts", F.lit(1), "ops")
+    samples = samples.withColumn("bytes", F.col("bytes") + F.col("size")).withColumn("ops", F.col("ops") + 1)
     return stats.request_sizes(samples).select("device", F.round("in_flight", 6).alias("in_flight"), F.round("request_bytes", 6).alias("request_bytes"))
 
 
@@ -270,6 +299,48 @@ def cycles_per_operation(spark, sf_dir):
     return g.select("l_linestatus", F.round("idle", 6).alias("idle"), F.round("iowait", 6).alias("iowait"), F.round(cycles, 3).alias("cycles"))
 
 
+@query("SELECT round(avg(l_discount * 100), 6) AS usr, round(avg(l_tax * 100), 6) AS sys, round(avg(l_quantity), 6) AS iowait, round(avg(100 - l_quantity), 6) AS idle FROM lineitem WHERE l_linenumber % 2 = 0")
+def cpu_use(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linenumber") % 2 == 0, "all").otherwise("0").alias("cpu"), (F.col("l_discount") * 100).alias("usr"), (F.col("l_tax") * 100).alias("sys"),
+        F.col("l_quantity").alias("iowait"), (100 - F.col("l_quantity")).alias("idle"),
+    )
+    return stats.cpu_use(rows).select(*[F.round(c, 6).alias(c) for c in ("usr", "sys", "iowait", "idle")])
+
+
+@query("SELECT 'dev' || l_linenumber AS device, round(avg(l_quantity), 6) AS queue_depth, round(avg(l_extendedprice), 4) AS request_size, round(avg(l_discount * 100), 6) AS util FROM lineitem GROUP BY 1")
+def device_use(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("dev"), "l_linenumber").alias("device"), F.col("l_quantity").alias("queue_depth"), F.col("l_extendedprice").alias("request_size"), (F.col("l_discount") * 100).alias("util")
+    )
+    return stats.device_use(rows).select("device", F.round("queue_depth", 6).alias("queue_depth"), F.round("request_size", 4).alias("request_size"), F.round("util", 6).alias("util"))
+
+
+@query("""SELECT event_type AS device, (max(event_id) - min(event_id)) * 512 / 1048576.0::DOUBLE AS read_mb, (max(user_id) - min(user_id)) * 512 / 1048576.0::DOUBLE AS write_mb
+FROM events GROUP BY 1""")
+def disk_traffic(spark, sf_dir):
+    by = tables.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("device"))
+    before, after = (by.agg(f("event_id").alias("read_sectors"), f("user_id").alias("write_sectors")) for f in (F.min, F.max))
+    return stats.disk_traffic(before, after)
+
+
+@query("SELECT date_trunc('day', ts) AS t, count(*) AS value FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY 1")
+def series_sum(spark, sf_dir):
+    events = tables.table(spark, sf_dir, "events")
+    one = lambda kind: events.where(F.col("event_type") == kind).groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("t")).agg(F.count(F.lit(1)).alias("value"))
+    return stats.series_sum(one("click"), one("view"), one("error"))
+
+
+@query(f"WITH {M} SELECT count(*) AS n_keys FROM st")
+def key_count(spark, sf_dir):
+    return stats.key_count(log.current_state(tables.mutation_log(spark, sf_dir)))
+
+
+@query("SELECT event_type AS op, count(*) AS n, sum(floor(value * 100)::BIGINT + 1)::BIGINT AS total_us FROM events WHERE floor(value * 100) + 1 > 0 GROUP BY 1")
+def monitor_samples(spark, sf_dir):
+    return stats.monitor_samples(tables.latencies(spark, sf_dir)).groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum("latency_us").alias("total_us"))
+
+
 # ---- replication -----------------------------------------------------------------------
 
 
@@ -370,9 +441,19 @@ def region_layout(spark, sf_dir):
     return cluster.layout(spark, 40)
 
 
-@query("SELECT s_name AS node, row_number() OVER (ORDER BY s_name) = 1 AS leader, lag(s_name) OVER (ORDER BY s_name) AS watches FROM supplier")
+@query("SELECT n_name AS node, row_number() OVER (ORDER BY n_name) = 1 AS leader, lag(n_name) OVER (ORDER BY n_name) AS watches FROM nation")
 def election_leader_watch(spark, sf_dir):
-    return cluster.election(tables.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("node")))
+    return cluster.election(tables.table(spark, sf_dir, "nation").select(F.col("n_name").alias("node")))
+
+
+@query("SELECT count(DISTINCT 'host' || lpad((s_suppkey // 5)::VARCHAR, 6, '0') || ':' || (9000 + s_suppkey % 5)) FILTER (WHERE s_acctbal >= 500) >= 50 AS ready FROM supplier")
+def can_boot(spark, sf_dir):
+    return cluster.can_boot(_alive(spark, sf_dir), 50)
+
+
+@query("SELECT max(s_suppkey) + 1 AS clock FROM supplier")
+def next_clock(spark, sf_dir):
+    return cluster.next_clock(tables.servers(spark, sf_dir).select(F.col("position").alias("clock")))
 
 
 @query("SELECT count(DISTINCT s_suppkey // 5) AS n_hosts FROM supplier")
@@ -405,6 +486,31 @@ def record_update_merge(spark, sf_dir):
     return done.select("key", records.to_text(F.col("record")).alias("record"), F.array_join("unknown_fields", ",").alias("unknown_fields"))
 
 
+@query("""WITH s AS (SELECT * FROM part WHERE p_partkey >= 100 ORDER BY p_partkey LIMIT 40)
+SELECT p_partkey AS key, 'brand' AS field, p_brand AS value FROM s UNION ALL SELECT p_partkey, 'size', p_size::VARCHAR FROM s""")
+def scan_record_fields(spark, sf_dir):
+    rows = _part_text(spark, sf_dir).select("key", records.to_map(F.col("value")).alias("record"))
+    return scan.scan_fields(rows, 100, 40, ["brand", "size"])
+
+
+_ODD = "CASE o_orderkey % 5 WHEN 0 THEN ' YES ' WHEN 1 THEN 'off' WHEN 2 THEN '1' WHEN 3 THEN 'maybe' END"
+
+
+@query(f"""SELECT o_orderkey, (64 - (o_custkey % 64)) % 64 AS pad, CASE WHEN o_orderpriority = o_orderstatus THEN 0 WHEN o_orderpriority < o_orderstatus THEN 1 ELSE -1 END::INT AS sign,
+  concat_ws('', o_orderstatus, {_ODD}, o_orderpriority) AS parts, CASE WHEN lower(trim({_ODD})) IN ('yes', '1') THEN 'true' WHEN lower(trim({_ODD})) = 'off' THEN 'false' ELSE '-' END AS flag,
+  o_custkey % 400 <= 255 AS subnet, o_custkey * 1000000 + 1 AS micros FROM orders""")
+def small_scalars(spark, sf_dir):
+    k = F.col("o_orderkey") % 5
+    odd = F.when(k == 0, " YES ").when(k == 1, "off").when(k == 2, "1").when(k == 3, "maybe")
+    start = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    later = start + F.make_dt_interval(secs=F.col("o_custkey").cast("decimal(18,6)"))
+    return tables.table(spark, sf_dir, "orders").select(
+        "o_orderkey", keys.padding(F.col("o_custkey"), 64).alias("pad"), keys.compare(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("sign"),
+        keys.joined(F.col("o_orderstatus"), odd, F.col("o_orderpriority")).alias("parts"), F.coalesce(keys.parse_bool(odd).cast("string"), F.lit("-")).alias("flag"),
+        keys.is_subnet(F.concat(F.lit("10.1."), (F.col("o_custkey") % 400).cast("string"))).alias("subnet"), keys.micros_between(start, later, round_up=True).alias("micros"),
+    )
+
+
 _U = "((o_orderkey * 2654435761) % 4294967296) / 4294967296.0::DOUBLE"
 
 
@@ -433,16 +539,58 @@ def zipf_counts(spark, sf_dir):
     return draws.groupBy(rank.alias("rank")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_FNV = """(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(0, 8), lambda i: ((k >> (8 * i)::INT) & 255)::HUGEINT)),
+  lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT))"""
+
+
+@query(f"SELECT (1000 + {_FNV} % 500)::BIGINT AS key, count(*) AS n FROM (SELECT o_custkey AS k FROM orders) GROUP BY 1")
+def scrambled_keys(spark, sf_dir):
+    key = workload.scrambled(F.col("o_custkey"), 500, 1000)
+    return tables.table(spark, sf_dir, "orders").groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, 20000 - o_custkey AS newest FROM orders WHERE 20000 - o_custkey <= 19000")
+def latest_keys(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "orders").select("o_orderkey", workload.latest(F.col("o_custkey"), 20_000).alias("newest"))
+    return workload.not_beyond(rows, F.lit(19_000), "newest")
+
+
+@query(f"SELECT (5 + floor({_U} * 16))::BIGINT AS length, count(*) AS n FROM orders GROUP BY 1")
+def uniform_lengths(spark, sf_dir):
+    length = workload.uniform(workload.uniform_of(F.col("o_orderkey")), 5, 20)
+    return tables.table(spark, sf_dir, "orders").groupBy(length.alias("length")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS i, o_custkey AS key, CASE WHEN {_U} < 0.5 THEN 'read' WHEN {_U} < 0.7 THEN 'update' WHEN {_U} < 0.8 THEN 'insert' ELSE 'rmw' END AS op FROM orders),
+s AS (SELECT p_partkey AS key, 'brand ' || p_brand || ' size ' || p_size || ' type ' || p_type AS r, p_brand, p_type FROM part)
+SELECT i, op, o.key, s.key IS NOT NULL AS key_found, CASE WHEN op IN ('read', 'rmw') THEN r END AS was,
+  CASE op WHEN 'insert' THEN 'size ' || i WHEN 'update' THEN CASE WHEN s.key IS NOT NULL THEN 'brand ' || p_brand || ' size ' || i || ' type ' || p_type END
+    WHEN 'rmw' THEN CASE WHEN s.key IS NOT NULL THEN 'brand ' || p_brand || ' size ' || i || ' type ' || p_type END END AS becomes
+FROM o LEFT JOIN s USING (key)""")
+def workload_dispatch(spark, sf_dir):
+    """Every order an operation on the part of its customer's number: what it read, and what it writes."""
+    op = workload.discrete(workload.uniform_of(F.col("o_orderkey")), [("read", 50), ("update", 20), ("insert", 10), ("rmw", 20)])
+    ops = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), op.alias("op"), F.col("o_custkey").alias("key"), F.create_map(F.lit("size"), F.col("o_orderkey").cast("string")).alias("fields"))
+    state = _part_text(spark, sf_dir).select("key", records.to_map(F.col("value")).alias("record"))
+    done = workload.dispatch(state, ops)
+    text = lambda c: F.when(F.col(c).isNotNull(), records.to_text(F.col(c))).alias(c)
+    return done.select("i", "op", "key", "key_found", text("was"), text("becomes"))
+
+
 # ---- streams ---------------------------------------------------------------------------
 
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{where.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{where.rstrip('/')}/streams-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)  # read until then
+    return path.toString()
 
 
-@query()
+@query("""WITH r AS (SELECT event_id % 8 AS region, event_id // 8 AS lsn, user_id::VARCHAR AS key, value,
+  CASE WHEN event_type IN ('signup', 'click') THEN 'put' WHEN event_type = 'error' THEN 'delete' ELSE 'put_if_exists' END AS op FROM events)
+SELECT * FROM r QUALIFY lsn = row_number() OVER (PARTITION BY region ORDER BY lsn) - 1""")
 def lsn_reorder_stream(spark, sf_dir):
     """Eight regions' logs, written in scrambled order, read as a stream and put back in lsn order."""
     folder = _scratch(spark)
@@ -452,11 +600,15 @@ def lsn_reorder_stream(spark, sf_dir):
     return streams.drain(streams.in_order(stream, stalled_ms=None), f"{folder}/out", f"{folder}/state")
 
 
-@query()
+@query("""WITH g AS (SELECT user_id::VARCHAR AS server, ts, coalesce((ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR)::INT, 0) AS new FROM events),
+s AS (SELECT server, ts, sum(new) OVER (PARTITION BY server ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT server, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS failed_at, count(*) AS beats FROM s GROUP BY server, k
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE""")
 def session_failure(spark, sf_dir):
-    """Sessions of each user's events as heartbeats, closed by a gap of six hours."""
+    """Sessions of each user's events as heartbeats, closed by a gap of six hours; one batch of many files, so none is late."""
     folder = _scratch(spark)
     beats = tables.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("server"), F.col("ts").cast("timestamp").alias("ts"))
-    beats.orderBy("ts").coalesce(1).write.parquet(f"{folder}/in")
-    stream = streams.read_files(spark, f"{folder}/in", "server string, ts timestamp", per_trigger=1)
-    return streams.drain(streams.failures(stream, "6 hours"), f"{folder}/out", f"{folder}/state")
+    beats.write.parquet(f"{folder}/in")
+    stream = streams.read_files(spark, f"{folder}/in", "server string, ts timestamp", per_trigger=1_000_000)
+    done = streams.drain(streams.failures(stream, "6 hours"), f"{folder}/out", f"{folder}/state")
+    return done.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("failed_at", F.col("failed_at").cast("timestamp_ntz"))

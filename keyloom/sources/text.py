@@ -69,6 +69,12 @@ def throughput_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(number(r"^\s*([0-9.]+) sec").cast("double").alias("sec"), number(r"([0-9]+) operations").cast("long").alias("operations"), F.try_to_number(number(r"([0-9.]+) (?:current )?ops/sec"), F.lit("999999999999.99999")).cast("double").alias("ops_per_sec"))
 
 
+def write_throughput_log(samples: DataFrame, path: str) -> None:
+    """Interval lines of (sec, operations, ops_per_sec), as ``throughput_log`` reads them."""
+    line = F.concat(F.col("sec").cast("string"), F.lit(" sec "), F.col("operations").cast("string"), F.lit(" operations; "), F.col("ops_per_sec").cast("decimal(20,4)").cast("string"), F.lit(" current ops/sec"))
+    samples.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def mpstat(spark: SparkSession, path: str) -> DataFrame:
     """CPU samples of twelve-column mpstat output, decimal commas read as points, averages left out."""
     w = _words(lines(spark, path).where("not startswith(value, 'Average')"), 12).where("array_contains(w, 'all')")
@@ -83,6 +89,23 @@ def diskstats(spark: SparkSession, path: str) -> DataFrame:
     return w.select(F.col("w")[2].alias("device"), F.col("w")[5].cast("long").alias("read_sectors"), F.col("w")[9].cast("long").alias("write_sectors"))
 
 
+def iostat(spark: SparkSession, path: str) -> DataFrame:
+    """Device samples of extended iostat output, decimal commas read as points.
+
+    Columns are found by the header's names, which differ between versions.
+    """
+    rows = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
+    header = rows.where("value rlike '^Device'").first()
+    if header is None:
+        return spark.createDataFrame([], "device string, queue_depth double, request_size double, util double")
+    names = header[0].split()
+    w = rows.where("not value rlike '^Device'").select(F.split("value", r"\s+").alias("w")).where(F.size("w") == len(names))
+    value = lambda *wanted: F.try_element_at("w", F.lit(next((names.index(n) for n in wanted if n in names), len(names)) + 1))
+    number = lambda *wanted: F.regexp_replace(value(*wanted), ",", ".").try_cast("double")
+    parsed = w.select(F.col("w")[0].alias("device"), number("aqu-sz", "avgqu-sz").alias("queue_depth"), number("avgrq-sz", "areq-sz").alias("request_size"), number("%util").alias("util"))
+    return parsed.where("util is not null")
+
+
 def counters(spark: SparkSession, path: str) -> DataFrame:
     """``key: value`` counters (FX13, N2)."""
     parts = F.split("value", ":")

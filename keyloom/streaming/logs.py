@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -30,27 +30,30 @@ def in_order(log: DataFrame, first: int = 0, stalled_ms: int | None = STALLED_MS
     (X12), so a lost record does not hold state for ever.  Such timers keep a query
     running; None does without them, as a query over what is there now must.
     """
-    cols = ["region", "lsn", "key", "op", "value"]
+    kinds = {"region": "int64", "lsn": "int64", "key": "object", "op": "object", "value": "object"}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waits, held = state.get if state.exists else (first, "[]")
-        rows = pd.DataFrame(json.loads(held), columns=cols)
+        waits, *held = state.get if state.exists else (first, [], [], [], [])
+        rows = pd.DataFrame(dict(zip(list(kinds)[1:], held))).assign(region=key[0])[list(kinds)].astype(kinds)
         if state.hasTimedOut:
             waits = int(rows["lsn"].min()) if len(rows) else waits
-        parts = [rows, *[b[cols] for b in batches]] if not state.hasTimedOut else [rows]
-        full = [p for p in parts if len(p)]
-        rows = (pd.concat(full) if full else rows).drop_duplicates("lsn").sort_values("lsn")
-        rows = rows[rows["lsn"] >= waits].reset_index(drop=True)
-        ready = int((rows["lsn"].to_numpy(dtype="int64") == waits + rows.index.to_numpy()).cumprod().sum()) if len(rows) else 0
+        else:
+            rows = pd.concat([rows, *[b[list(kinds)].astype(kinds) for b in batches]])
+        rows = rows[rows["lsn"] >= waits].drop_duplicates("lsn").sort_values("lsn").reset_index(drop=True)
+        ready = int((rows["lsn"].to_numpy() == waits + rows.index.to_numpy()).cumprod().sum())
         waits += ready
         rest = rows.iloc[ready:]
-        state.update((waits, rest.to_json(orient="values") if len(rest) else "[]"))
+        state.update((waits, *[rest[c].tolist() for c in list(kinds)[1:]]))
         if len(rest) and stalled_ms is not None:
             state.setTimeoutDuration(stalled_ms)
-        yield rows.iloc[:ready].astype({"region": "int64", "lsn": "int64", "value": "float64"})
+        yield rows.iloc[:ready]
 
     timers = GroupStateTimeout.NoTimeout if stalled_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return log.groupBy("region").applyInPandasWithState(step, LOG, "waits long, held string", "append", timers)
+    # Values travel as text, which keeps every double, NaN and null apart.
+    held = "waits long, lsn array<long>, key array<string>, op array<string>, value array<string>"
+    kept = log.withColumn("value", F.col("value").cast("string"))
+    done = kept.groupBy("region").applyInPandasWithState(step, LOG.replace("value double", "value string"), held, "append", timers)
+    return done.withColumn("value", F.col("value").cast("double"))
 
 
 def failures(heartbeats: DataFrame, gap: str = "15 seconds", late: str = "1 minute") -> DataFrame:
@@ -78,6 +81,25 @@ def replicate(log: DataFrame, backups: list[str], checkpoint: str, done: Callabl
     return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Progress(StreamingQueryListener):
+    """What a query's batches read, kept for the one who asks: the callbacks of a replica (V2)."""
+
+    def __init__(self) -> None:
+        self.started, self.rows, self.ended = 0, 0, 0
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.started += 1
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.rows += event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended += 1
+
+
 def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now and give what it wrote."""
     query = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

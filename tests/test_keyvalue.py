@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.functions import hashing, keys, records
-from keyloom.operators import cluster, log, replication, routing, scan
+from keyloom.operators import cluster, log, replication, routing, running, scan
 
 LOG = "key string, lsn long, op string, value string"
 
@@ -142,13 +142,56 @@ def test_routing(spark):
     asked = spark.createDataFrame([(k,) for k in ["", "a", "b", "c", "d", "e", "f", "z", "+oo"]], "key string")
     got = {r.key: r.region for r in routing.route(asked, regions).collect()}
     assert got == {"": 0, "a": 0, "b": 1, "c": 1, "d": None, "e": None, "f": 3, "z": 3, "+oo": 0}
+    many = spark.createDataFrame([(k, f"{k:04d}" if k else "-oo", f"{k + 1:04d}" if k < 499 else "+oo") for k in range(500)], "id int, min_key string, max_key string")
+    keys_ = spark.range(0, 9999, 7).select(F.format_string("%05d", "id").substr(1, 4).alias("key"))
+    wide = {r.key: r.region for r in routing.route(keys_, many).collect()}
     most, routing.MOST_REGIONS = routing.MOST_REGIONS, 1
     try:
         assert {r.key: r.region for r in routing.route(asked, regions).collect()} == got
+        routing.MOST_REGIONS = 20
+        plan = routing.route(keys_, many)
+        assert {r.key: r.region for r in plan.collect()} == wide and "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
     finally:
         routing.MOST_REGIONS = most
 
 
+@pytest.mark.parametrize("stretch", [1, 7, 1 << 16])
+def test_running_equals_one_window(spark, stretch):
+    rnd = random.Random(stretch)
+    rows = [(rnd.choice(["a", "b", None]), k, rnd.randrange(10), rnd.choice(["x", "y", None])) for k in range(300)]
+    df = spark.createDataFrame(rnd.sample(rows, len(rows)), "g string, k long, v long, s string")
+    done = running.last_before(running.sum_before(df, ["g"], "k", F.col("v"), "sum", stretch), ["g"], "k", F.col("s"), "last", stretch)
+    sums, last, want = {}, {}, {}
+    for g, k, v, s in rows:
+        want[k] = (sums.get(g, 0), last.get(g))
+        sums[g] = sums.get(g, 0) + v
+        last[g] = s or last.get(g)
+    assert {r.k: (r["sum"], r["last"]) for r in done.collect()} == want
+
+
+def test_picks_equal_sorting(spark):
+    rnd = random.Random(2)
+    groups = {"ties": [1.0] * 500 + [2.0] * 3, "many": [rnd.random() for _ in range(5000)], "one": [7.0], None: [float(k % 10) for k in range(99)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("many", None)], "g string, v double")
+    got = {r.g: (r.a, r.z) for r in running.picks(df, ["g"], "v", {"a": F.floor(F.col("size") / 2), "z": F.floor(F.col("size") * 99 / 100)}, 10).collect()}
+    assert got == {g: (sorted(vs)[len(vs) // 2], sorted(vs)[len(vs) * 99 // 100]) for g, vs in groups.items()}
+
+
+def test_assign_looks_as_far_as_it_must(spark):
+    hosts = ["a"] * 30 + ["b"] + ["c"] * 5 + ["d", "a"]
+    servers = spark.createDataFrame([(k, f"{h}:{k}") for k, h in enumerate(hosts)], "position long, server string")
+    got = {}
+    for r in cluster.assign(spark.range(80), servers, 2).collect():
+        got.setdefault(r.id, []).append((r.place, r.server))
+    for i in range(80):
+        seen = {}
+        for j in range(len(hosts)):
+            p = (i + j) % len(hosts)
+            seen.setdefault(hosts[p], f"{hosts[p]}:{p}")
+        assert sorted(got[i]) == list(enumerate(list(seen.values())[:3]))
+    assert cluster.assign(spark.range(3), servers.limit(0), 2).count() == 0
+
+
 def test_records(spark):
     row = spark.range(1).select(records.to_map(F.lit("field0 aa field1 bb")).alias("r"))
     assert row.select(records.to_text(records.merge(F.col("r"), F.create_map(F.lit("field1"), F.lit("z"))))).first()[0] == "field0 aa field1 z"

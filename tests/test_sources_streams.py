@@ -1,5 +1,7 @@
 """Text sources, statistics, workloads and streams."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from keyloom.operators import log, stats, workload
@@ -44,6 +46,16 @@ def test_monitor_files(spark, tmp_path):
     assert stats.counter_delta(n0, n1, 10.0).first().rate == 2.0
     ops = text.throughput_log(spark, write(tmp_path / "o", "1.0 sec 500 operations; 500.5 current ops/sec\nend\n")).first()
     assert (ops.sec, ops.operations, ops.ops_per_sec) == (1.0, 500, 500.5)
+    again = spark.createDataFrame([(1.0, 500, 500.5), (2.5, 7, 0.0), (60.0, 10**9, 123456.25)], "sec double, operations long, ops_per_sec double")
+    text.write_throughput_log(again, str(tmp_path / "w"))
+    assert {tuple(r) for r in text.throughput_log(spark, str(tmp_path / "w")).collect()} == {tuple(r) for r in again.collect()}
+
+
+def test_iostat(spark, tmp_path):
+    body = "Linux x\n\nDevice  r/s  aqu-sz areq-sz %util\nsda 1,0 2,5 16.0 50,0\nsdb 1 1 8 10\n\nDevice  r/s  aqu-sz areq-sz %util\nsda 1.0 3.5 32.0 70.0\n"
+    use = {r.device: r for r in stats.device_use(text.iostat(spark, write(tmp_path / "i", body))).collect()}
+    assert (use["sda"].queue_depth, use["sda"].request_size, use["sda"].util) == (3.0, 24.0, 60.0) and use["sdb"].util == 10.0
+    assert text.iostat(spark, write(tmp_path / "none", "x\n")).count() == 0
 
 
 def test_trace_round_trip(spark, tmp_path):
@@ -98,6 +110,48 @@ def test_reordered_stream_equals_batch(spark, tmp_path):
     assert mine == {tuple(r) for r in log.current_state(whole).collect()}
 
 
+def test_held_records_keep_their_values(spark, tmp_path):
+    """Records that wait in state come out as they went in: full precision, nulls and NaN apart."""
+    values = [0.12345678901234567, 1e-12, None, float("nan"), -0.0, 1e300, 5e-324, 2.0]
+    rows = [(0, k, None if k == 3 else f"k{k}", "put", v) for k, v in enumerate(values)]
+    for part in (rows[4:], rows[1:4], rows[:1]):  # the first record comes last
+        spark.createDataFrame(part, streams.LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.read_files(spark, str(tmp_path / "in"), streams.LOG, per_trigger=1)
+    done = streams.drain(streams.in_order(stream, stalled_ms=None), str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    assert sorted(map(repr, map(tuple, done))) == sorted(map(repr, rows))
+
+
+def test_stalled_gap_is_given_up(spark, tmp_path):
+    """With timers on, a region that waits too long goes on with the least record it has."""
+    spark.createDataFrame([(0, k, "k", "put", 1.0) for k in (0, 1, 3, 4)], streams.LOG).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = streams.read_files(spark, str(tmp_path / "in"), streams.LOG)
+    progress = streams.Progress()
+    spark.streams.addListener(progress)
+    query = streams.in_order(stream, stalled_ms=500).writeStream.format("memory").queryName("stalled").outputMode("append").trigger(processingTime="200 milliseconds").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and spark.table("stalled").count() < 4:
+            time.sleep(0.5)
+        assert sorted(r.lsn for r in spark.table("stalled").collect()) == [0, 1, 3, 4]
+    finally:
+        query.stop()
+        until = time.time() + 30
+        while time.time() < until and not progress.ended:
+            time.sleep(0.2)
+        spark.streams.removeListener(progress)
+    assert progress.started == progress.ended == 1 and progress.rows == 4
+
+
+def test_stream_of_rates_equals_batch(spark, tmp_path):
+    events = tables.table(spark, DATA, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    events.write.parquet(str(tmp_path / "in"))
+    stream = streams.read_files(spark, str(tmp_path / "in"), "event_id long, ts timestamp", per_trigger=1000)
+    done = streams.drain(streams.rates(stream, "1 hour", 3600.0, "1 minute"), str(tmp_path / "out"), str(tmp_path / "state"))
+    whole = {tuple(r) for r in stats.tumbling_rates(events, "1 hour", 3600.0).collect()}
+    mine = {tuple(r) for r in done.collect()}
+    assert mine <= whole and len(whole) - len(mine) <= 1  # the last window is still open
+
+
 def test_replication_stream(spark, tmp_path):
     spark.range(20).select(F.col("id").alias("region"), F.col("id").alias("lsn"), F.lit("k").alias("key"), F.lit("put").alias("op"), F.lit(1.0).alias("value")).write.parquet(str(tmp_path / "in"))
     seen = []
