@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .frames import free_name, map_arrow, table
+from .frames import free_name, held, map_arrow, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK_BYTES = 2 << 20
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 MEMO_WORD_CHARS = 64
+#: Counting keeps one number a chunk or word, so its memos may hold more.
+MEMO_CHUNKS = 600_000
 _CHUNK = regex.compile(r"\s*\S+|\s+")
 
 
@@ -71,6 +73,22 @@ class Replay:
         words = list(words)
         if not words:
             return {}
+        flat, last = self._replayed(words)
+        ends = np.cumsum(flat >= 0)[last] * 4
+        kept = flat[flat >= 0].tobytes()
+        out, a = {}, 0
+        for w, b in zip(words, ends.tolist()):
+            out[w] = kept[a:b]
+            a = b
+        return out
+
+    def sizes(self, words: list[str]) -> np.ndarray:
+        """How many tokens each distinct word has."""
+        flat, last = self._replayed(words)
+        return np.diff(np.cumsum(flat >= 0)[last], prepend=0)
+
+    def _replayed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids at the byte places of all words (-1 where a token goes on), and each word's last place."""
         data = [w.encode("utf-8", "surrogatepass") for w in words]
         whole = np.fromiter(map(self.ranks.get, data, repeat(-1)), np.int64, len(data))
         sizes = np.fromiter(map(len, data), np.int64, len(data))
@@ -138,14 +156,7 @@ class Replay:
                             index[rank] = rest
                             push(queue, rank)
                     break
-        flat = np.array(ids, np.int32)
-        ends = np.cumsum(flat >= 0)[first + sizes - 1] * 4
-        kept = flat[flat >= 0].tobytes()
-        out, a = {}, 0
-        for w, b in zip(words, ends.tolist()):
-            out[w] = kept[a:b]
-            a = b
-        return out
+        return np.array(ids, np.int32), first + sizes - 1
 
     def _split(self, chunks: dict[str, str], seen: dict[str, bytes]) -> None:
         """Add the ids of new chunks (key: text to split) to ``seen``."""
@@ -198,22 +209,26 @@ def _chunks(texts: list[str], spaced: dict, exact: dict) -> tuple[list, dict[str
 
 
 class Counts:
-    """Token counts under several vocabularies at once: a chunk's counts are one number, 32 bits for each."""
+    """Token counts by one vocabulary; its memos hold one number a chunk or word, and no ids."""
 
-    def __init__(self, replays: list[Replay]):
-        self.replays = replays
+    def __init__(self, replay: Replay):
+        self.replay = replay
+        self.words: dict[str, int] = {}
         self.spaced: dict[str, int] = {}
         self.exact: dict[str, int] = {}
 
     def _add(self, chunks: dict[str, str], seen: dict[str, int]) -> None:
-        seen.update(dict.fromkeys(chunks, 0))
-        for v, replay in enumerate(self.replays):
-            ids: dict[str, bytes] = {}
-            replay._split(chunks, ids)
-            for key, x in ids.items():
-                seen[key] |= len(x) // 4 << 32 * v
-
-    def count(self, texts: list[str]) -> list[list[int]]:
+        """Add the counts of new chunks to ``seen``."""
+        known = self.words
+        split = {key: self.replay.pattern.findall(chunk) for key, chunk in chunks.items()}
+        fresh = list({w for words in split.values() for w in words if w not in known})
+        if fresh:
+            known.update(zip(fresh, self.replay.sizes(fresh).tolist()))
+        for key, words in split.items():
+            seen[key] = known[words[0]] if len(words) == 1 else sum([known[w] for w in words])
+        _forget(known, fresh, MEMO_CHUNKS)
+
+    def count(self, texts: list[str]) -> list[int]:
         spaced, exact = self.spaced, self.exact
         parts, new_spaced, new_exact = _chunks(texts, spaced, exact)
         self._add(new_spaced, spaced)
@@ -222,16 +237,15 @@ class Counts:
         for head, rest, found, missing in parts:
             for k in missing:
                 found[k] = spaced[rest[k]]
-            total = sum(found) + sum(map(exact.__getitem__, head))
-            out.append([total >> 32 * v & 0xFFFFFFFF for v in range(len(self.replays))])
-        _forget(spaced, new_spaced)
-        _forget(exact, new_exact)
+            out.append(sum(found) + sum(map(exact.__getitem__, head)))
+        _forget(spaced, new_spaced, MEMO_CHUNKS)
+        _forget(exact, new_exact, MEMO_CHUNKS)
         return out
 
 
-def _forget(memo: dict, new: Iterable[str]) -> None:
+def _forget(memo: dict, new: Iterable[str], most: int | None = None) -> None:
     """Keep a memo within its bounds: the newest entries go, and long ones.  Nothing but speed depends on it."""
-    full = len(memo) > MEMO_WORDS
+    full = len(memo) > (most or MEMO_WORDS)
     for w in new:
         if full or len(w) > MEMO_WORD_CHARS:
             del memo[w]
@@ -256,16 +270,10 @@ class Bytes:
         return self.data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - (ends - n), n)].tobytes()
 
 
-_tools: dict[int, tuple[Replay, Bytes]] = {}
-
-
 def _tool(shared) -> tuple[Replay, Bytes]:
     """One replay (with its memo) and one decoder for each rank table and worker process."""
     ranks, pattern = shared.value
-    if id(ranks) not in _tools:
-        _tools.clear()
-        _tools[id(ranks)] = Replay(ranks, pattern), Bytes(ranks)
-    return _tools[id(ranks)]
+    return held(("replay", id(ranks)), lambda: (Replay(ranks, pattern), Bytes(ranks)))
 
 
 def _shared(df: DataFrame, path: str | None, pattern: str):
@@ -302,33 +310,30 @@ def encode(
             part = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*batch.schema.names, out, *([back] if back else [])])
 
-    return map_arrow(docs, rows, f"{_fields(docs)}, `{out}` array<int>" + (f", `{back}` binary" if back else ""))
-
+    return map_arrow(docs, rows, f"{_fields(docs)}, `{out}` array<int>" + (f", `{back}` binary" if back else ""), holds=True)
 
-_counts: dict[int, Counts] = {}
 
+def count(docs: DataFrame, vocabularies: Sequence[str], texts: dict[str, tuple[str, int]], pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``docs`` with token counts of text columns (null: 0) in place of the columns.
 
-def count(docs: DataFrame, vocabularies: Sequence[str], text: str = "text", out: str = "counts", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """``docs`` with an array of token counts, one for each rank file (null text: 0).
-
-    ``vocabularies`` are paths on the driver.  No ids are kept, so a text costs one look-up
-    a word for all vocabularies together.
+    ``vocabularies`` are rank files on the driver; ``texts`` gives, for each text column, the
+    name of its count and which of the vocabularies counts it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(([load_ranks(p) for p in vocabularies], pattern))
-    name = free_name(docs, out)
+    kept = [c for c in docs.columns if c not in texts]
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ranks, pattern = shared.value
-        if id(ranks) not in _counts:
-            _counts.clear()
-            _counts[id(ranks)] = Counts([Replay(r, pattern) for r in ranks])
-        texts = W.column(batch, text)
+        tools = held(("counts", id(ranks)), lambda: [Counts(Replay(r, pattern)) for r in ranks])
         gc.disable()  # nothing here makes cycles, and the memo is large
-        for a, b in W.slices(texts, BLOCK_BYTES):
-            found = _counts[id(ranks)].count(texts.slice(a, b - a).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, name])
+        cols = []
+        for name, (_, vocabulary) in texts.items():
+            own, counts = W.column(batch, name), tools[vocabulary]
+            found = [x for a, b in W.slices(own, BLOCK_BYTES) for x in counts.count(own.slice(a, b - a).to_pylist())]
+            cols.append(pa.array(found, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *cols], names=[*kept, *[out for out, _ in texts.values()]])
 
-    return map_arrow(docs, rows, f"{_fields(docs)}, `{name}` array<bigint>")
+    return map_arrow(docs, rows, ", ".join([_fields(docs.select(*kept)), *[f"`{out}` bigint" for out, _ in texts.values()]]), holds=True)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -342,7 +347,7 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", path: str
         made = [table.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in col]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, name])
 
-    return map_arrow(encoded, rows, f"{_fields(encoded)}, `{name}` binary")
+    return map_arrow(encoded, rows, f"{_fields(encoded)}, `{name}` binary", holds=True)
 
 
 def digest(docs: DataFrame) -> DataFrame:

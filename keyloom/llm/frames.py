@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -58,13 +60,53 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
-def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+#: Rows of an Arrow batch at most, where the session leaves Spark's default: batches hold whole texts.
+BATCH_ROWS = 2000
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps from task to task, such as a memo: one at a time, by key."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def _let_go() -> None:
+    if _held:
+        _held.clear()
+        gc.enable()
+        gc.collect()
+
+
+def trim() -> None:
+    """Give what a Python worker has freed back to the system: workers wait for the next task with what they kept."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
+def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, holds: bool = False) -> DataFrame:
+    """``mapInArrow`` with a function of one batch.
+
+    Workers are used again by other operators, so what one holds goes unless this one ``holds``, too.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            _let_go()
         for batch in batches:
             if batch.num_rows:
                 yield from rows(batch)
+        trim()
 
     return df.mapInArrow(run, schema)
 

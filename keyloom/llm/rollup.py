@@ -29,7 +29,7 @@ from . import bpe
 from .frames import shared_folder, stored, table
 from .mixing import WORD
 
-#: Tokenizer versions that are counted: name and rank file.
+#: The tokenizer version that documents come with and the one that some move to: name and rank file.
 TOKENIZERS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
 
 GROUP = ("source", "lang", "tokenizer")
@@ -101,31 +101,38 @@ class Rollup:
         self._fs.create(self._file("snapshots", name, "_SUCCESS"), True).close()
 
 
-def _maintained(spark: SparkSession, counted: DataFrame) -> DataFrame:
-    """All documents inserted; then every tenth deleted and every tenth counted anew, a batch that is sent twice.
-
-    ``counted`` has (doc_id, source, lang, tokenizer, tokens, revised).
-    """
+def _maintained(spark: SparkSession, first: DataFrame, later: DataFrame) -> DataFrame:
+    """The totals after a batch of inserts and one of changes that is sent twice."""
     store = Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
-    store.commit("0", counted.select(F.lit("insert").alias("op"), *GROUP, "tokens", F.lit(None).cast("long").alias("old_tokens")))
-    gone, new = F.col("doc_id") % 10 == 3, F.col("doc_id") % 10 == 7
-    later = counted.where(gone | new).select(F.when(gone, "delete").otherwise("revise").alias("op"), *GROUP, F.col("revised").alias("tokens"), F.col("tokens").alias("old_tokens"))
+    store.commit("0", first)
     for _ in range(2):
         store.commit("1", later)
     return store.totals()
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """Tokens of each document under each of TOKENIZERS, and of every tenth with its white space made single spaces."""
+def _delta(op: str, tokenizer: str, tokens: str | None, old_tokens: str | None) -> Column:
+    value = lambda c: (F.col(c) if c else F.lit(None)).cast("long")
+    return F.struct(F.lit(op).alias("op"), F.lit(tokenizer).alias("tokenizer"), value(tokens).alias("tokens"), value(old_tokens).alias("old_tokens"))
+
+
+def token_deltas(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two batches: every document inserted under the first tokenizer; then one in ten deleted, one
+    in ten counted anew with its white space made single spaces, and one in ten moved to the second tokenizer."""
+    turn = F.col("doc_id") % 10
+    texts = docs.select(
+        "doc_id", "source", "lang", "text", F.when(turn == 7, F.regexp_replace("text", r"\s+", " ")).alias("cleaned"), F.when(turn == 9, F.col("text")).alias("moved")
+    )
     paths = [public_tokenizers.path(f) for f in TOKENIZERS.values()]
-    plain = docs.select("doc_id", "source", "lang", "text", F.when(F.col("doc_id") % 10 == 7, F.regexp_replace("text", r"\s+", " ")).alias("cleaned"))
-    both = bpe.count(bpe.count(plain, paths, out="now"), paths, text="cleaned", out="later").drop("text", "cleaned")
-    each = lambda k, name: F.struct(F.lit(name).alias("tokenizer"), F.col("now")[k].alias("tokens"), F.col("later")[k].alias("revised"))
-    return both.select("doc_id", "source", "lang", F.inline(F.array(*[each(k, n) for k, n in enumerate(TOKENIZERS)])))
+    counted = stored(bpe.count(texts, paths, {"text": ("now", 0), "cleaned": ("later", 0), "moved": ("other", 1)}))
+    old, new = TOKENIZERS
+    first = counted.select("source", "lang", _delta("insert", old, "now", None).alias("x")).select("source", "lang", "x.*")
+    changes = F.when(turn == 3, F.array(_delta("delete", old, None, "now"))).when(turn == 7, F.array(_delta("revise", old, "later", "now")))
+    changes = changes.when(turn == 9, F.array(_delta("delete", old, None, "now"), _delta("insert", new, "other", None)))
+    return first, counted.where(turn.isin(3, 7, 9)).select("source", "lang", F.inline(changes))
 
 
 def op9_rollup_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _maintained(spark, stored(token_counts(table(spark, sf_dir, "documents"))))
+    return _maintained(spark, *token_deltas(table(spark, sf_dir, "documents")))
 
 
 def rollup_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +141,11 @@ def rollup_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda name, tokens, revised: F.struct(F.lit(name).alias("tokenizer"), tokens.alias("tokens"), revised.alias("revised"))
     size: Column = F.octet_length("text")
     versions = F.array(of("words/1", words, F.when(F.col("doc_id") % 10 == 7, letters)), of("bytes/1", size, size))
-    return _maintained(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.inline(versions)))
+    counted = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.inline(versions))
+    first = counted.select(F.lit("insert").alias("op"), *GROUP, "tokens", F.lit(None).cast("long").alias("old_tokens"))
+    gone, new = F.col("doc_id") % 10 == 3, F.col("doc_id") % 10 == 7
+    later = counted.where(gone | new).select(F.when(gone, "delete").otherwise("revise").alias("op"), *GROUP, F.col("revised").alias("tokens"), F.col("tokens").alias("old_tokens"))
+    return _maintained(spark, first, later)
 
 
 SQL = r"""

@@ -452,15 +452,16 @@ def test_token_rollup_equals_brute_force(spark):
     text = lambda: "".join(rnd.choice(["The ", "naïve  ", "\n\t", "été ", "漢字", "x" * 30, "don't ", " "]) for _ in range(rnd.randint(0, 30)))
     rows = [(i, rnd.choice([text(), text(), None, ""]), rnd.choice(["en", None]), rnd.choice("ab")) for i in range(80)] + [(13, "twice here", "en", "a")] * 2 + [(97, "word  " * 40_000, "en", "a")]
     df = spark.createDataFrame([(*r, "kept", "kept") for r in rows], "doc_id long, text string, lang string, source string, counts string, now string")
-    want = Counter()
-    docs = Counter()
+    ids = {}
     for name, file in rollup.TOKENIZERS.items():
-        other = tiktoken.Encoding("own", pat_str=bpe.public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.public_tokenizers.path(file)), special_tokens={})
-        for i, t, lang, source in rows:
-            if i % 10 != 3:
-                t = re.sub(r"[ \t\n\x0b\f\r]+", " ", t or "") if i % 10 == 7 else t or ""
-                want[source, lang, name] += len(other.encode_ordinary(t))
-                docs[source, lang, name] += 1
-    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup._maintained(spark, rollup.token_counts(df)).collect()}
+        ids[name] = tiktoken.Encoding("own", pat_str=bpe.public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.public_tokenizers.path(file)), special_tokens={}).encode_ordinary
+    want, docs = Counter(), Counter()
+    for i, t, lang, source in rows:
+        if i % 10 != 3:
+            t = re.sub(r"[ \t\n\x0b\f\r]+", " ", t or "") if i % 10 == 7 else t or ""
+            name = list(ids)[i % 10 == 9]
+            want[source, lang, name] += len(ids[name](t))
+            docs[source, lang, name] += 1
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup._maintained(spark, *rollup.token_deltas(df)).collect()}
     assert got == {k: (docs[k], want[k]) for k in docs}
-    assert rollup._maintained(spark, rollup.token_counts(df.limit(0))).count() == 0
+    assert rollup._maintained(spark, *rollup.token_deltas(df.limit(0))).count() == 0
