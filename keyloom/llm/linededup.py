@@ -294,10 +294,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     gone = _few(gone, PLACE_BYTES * size[0] + 8 * (size[1] or 0), 1)
     both = placed.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(own)), "left")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(places, F.col(base) + i)), "\n")
-    # The end of the text's own places is a column of its own: the select below gives ``text`` anew.
-    end = free_name(docs, "dedup_end")
-    both = both.withColumn(end, F.when(F.col(places).isNotNull(), F.col(base) + F.size(F.split(text, "\n", -1))))
-    dropped = F.size(F.filter(places, lambda p: (p >= F.col(base)) & (p < F.col(end))))
+    end = F.col(base) + F.size(F.split(text, "\n", -1))  # of the text's own places; found once, not for each place
+    dropped = _let(end, lambda e: F.size(F.filter(places, lambda p: (p >= F.col(base)) & (p < e))))
     text_now = F.when(F.col(places).isNull(), F.col(text)).otherwise(kept).alias(text)
     cols = [text_now if c == text else F.col(f"`{c}`") for c in docs.columns]
     return both.select(*cols, F.when(F.col(places).isNull(), 0).otherwise(dropped).cast("long").alias(name)), name
