@@ -39,13 +39,14 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import absorb, components
-from .frames import map_arrow, stored, table, tidy
+from .frames import map_arrow, stored, table, tidy, trim
 
 WORDS, PERCENT = 5, 75
 SKETCH_BITS, SLABS = 20, 64
 BLOCK_SHINGLES = 1_000_000
 CHUNK_MEMBERS = 1500
 LEAF, FAN = 16, 4
+TRIM_NODES = 200
 BATCH_PAIRS = 1 << 14
 #: Tables of so many ids at most are broadcast (16 bytes each); larger ones are joined by a shuffle.
 MOST_BROADCAST = 4_000_000
@@ -365,6 +366,8 @@ def _edges(groups: list[np.ndarray], nodes: np.ndarray, own: list[bytes], percen
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
+    if sum(map(len, a)) > TRIM_NODES:
+        trim()
     none = [np.zeros(0, np.int64)]
     return pa.table({"a": pa.array(np.concatenate(a or none), pa.int64()), "b": pa.array(np.concatenate(b or none), pa.int64())})
 
